@@ -15,8 +15,10 @@ How it stays bounded, whatever the data:
 * Tokens that ``FREQUENT`` texts of a map task share leave that task as one posting, so a token of a third of
   all texts sends a few rows from each task.
 * A text with more tokens of its own (frequency 1) than it may miss is done: no partner can exist.
-* Texts that meet in an index entry are compared with the entry's first text, not with one another. Only
-  entries whose texts are then still in several components go on, with what is not yet known.
+* Texts that meet in an index entry are compared with the entry's first text, not with one another. Entries
+  whose texts are then still in several components go on: entries with much the same texts become one hub, and
+  a hub's texts are compared in pairs of blocks of about ``BLOCK`` texts, by products of token matrices.
+  Nothing is left out, no pair is a row unless it joins two components, and no task holds more than two blocks.
 
 Defined results: null, empty or blank texts have no set, link with nothing and are their own component. Texts
 of fewer words than ``width`` have one token, the whole sequence. Repeated rows and repeated ids each keep
@@ -40,6 +42,7 @@ from .components import components
 WIDTH, NUMERATOR, DENOMINATOR = 5, 80, 100
 SAMPLED = 11  #: of 32 parts of the token space have exact document frequencies
 FREQUENT = 64  #: a token of so many classes is of the frequent class
+BLOCK = 128
 _U, _LOW48 = np.uint64, np.uint64((1 << 48) - 1)
 
 
@@ -292,24 +295,95 @@ def _first(members: DataFrame, key: str) -> DataFrame:
 
 def class_components(docs: DataFrame, known: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int, total: int) -> DataFrame:
     """(cid, comp) of the classes with a link to another class."""
-    found = memberships(shared_tokens(docs, text_col, width, num, den, total), known, num, den)
-    found = cut(found)
+    found = cut(memberships(shared_tokens(docs, text_col, width, num, den, total), known, num, den))
     members = cut(found.join(_first(found, "cid").select("sig", F.col("lo").alias("leader")), "sig"))
     wanted = members.select("cid").distinct().join(known, "cid").select(F.col("rep").alias("wanted_id"), "cid")
     sets = cut(set_table(docs, wanted, id_col, text_col, width))
-    star = cut(members.where("cid <> leader").select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct())
+    star = cut(members.where("cid <> leader").select(F.least("leader", "cid").alias("a"), F.greatest("leader", "cid").alias("b")).distinct())
     links = cut(verified(star, sets, num, den))
-    labels = components(links)
-    placed = members.select("sig", "cid").join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("sig", "cid", F.coalesce("comp", "cid").alias("comp"))
-    placed = cut(placed.join(_first(placed, "comp").select("sig"), "sig", "left_semi"))
+    labels = members.select("cid").distinct().join(components(links).withColumnRenamed("node", "cid"), "cid", "left").select("cid", F.coalesce("comp", "cid").alias("comp"))
+    labels = cut(labels)
+    placed = _unsettled(members.select("sig", "cid").join(labels, "cid"))
     if placed.isEmpty():
-        return labels.select(F.col("node").alias("cid"), "comp")
-    other = placed.select("sig", F.col("cid").alias("b"), F.col("comp").alias("comp_b"))
-    rest = placed.withColumnRenamed("cid", "a").join(other, "sig").where("a < b and comp <> comp_b").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    more = cut(verified(rest, sets, num, den))
-    if more.isEmpty():
-        return labels.select(F.col("node").alias("cid"), "comp")
-    return components(links.unionByName(more)).select(F.col("node").alias("cid"), "comp")
+        return labels
+    more = cut(_joined_in_blocks(placed, sets, num, den))
+    return labels if more.isEmpty() else _relabelled(labels, _merged(more, labels))
+
+
+def _unsettled(placed: DataFrame) -> DataFrame:
+    """Entries whose texts are in several components; the others can add nothing."""
+    placed = cut(placed)
+    return cut(placed.join(_first(placed, "comp").select("sig"), "sig", "left_semi").select("sig", "cid", "comp"))
+
+
+def _joined_in_blocks(placed: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) that join the components of texts with a common entry.
+
+    Entries with much the same texts have the same smallest text by hash; their union is one hub, in which a
+    pair meets once. A hub of m texts is dealt into blocks of about ``BLOCK``; each two blocks are compared as one
+    product of token matrices, and only links that join components which the block has not joined yet are rows."""
+    hubs = placed.groupBy("sig").agg(F.min(F.struct(F.xxhash64("cid").alias("h"), F.col("cid"))).alias("first")).select("sig", F.col("first.cid").alias("hub"))
+    inside = cut(placed.join(hubs, "sig").select("hub", "cid", "comp").distinct())
+    blocks = inside.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
+    dealt = inside.join(blocks, "hub").withColumn("own", F.pmod(F.xxhash64("cid", F.lit(1)), F.col("n")).cast("int"))
+    dealt = dealt.select("hub", "cid", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("mate"))
+    dealt = dealt.select("hub", "cid", "comp", "own", F.least("own", "mate").alias("i"), F.greatest("own", "mate").alias("j")).join(sets, "cid")
+
+    def run(table):
+        cids, comps = table.column("cid").to_numpy(), table.column("comp").to_numpy()
+        own, i, j = table.column("own").to_numpy(), table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        parts = [np.frombuffer(x.as_buffer(), _U) for x in table.column("tokens")]
+        out = _block_links(cids, comps, parts, own == i, own == j, num, den)
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return dealt.groupBy("hub", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def _block_links(cids, comps, parts, left, right, num: int, den: int) -> list[tuple[int, int]]:
+    sizes = np.array([len(p) for p in parts])
+    tokens = np.concatenate(parts)
+    rows = np.repeat(np.arange(len(parts)), sizes)
+    distinct, column, count = np.unique(tokens, return_inverse=True, return_counts=True)
+    keep = count > 1
+    number = np.cumsum(keep) - 1
+    rows, column = rows[keep[column]], number[column[keep[column]]]
+    order = np.argsort(column, kind="stable")
+    rows, column = rows[order], column[order]
+    x, y = np.flatnonzero(left), np.flatnonzero(right)
+    common = np.zeros((len(x), len(y)), np.float32)
+    for c in range(0, int(keep.sum()), 4096):  # the matrix stays small whatever the texts' lengths
+        lo, hi = np.searchsorted(column, [c, c + 4096])
+        m = np.zeros((len(parts), 4096), np.float32)
+        m[rows[lo:hi], column[lo:hi] - c] = 1
+        common += m[x] @ m[y].T
+    common = np.rint(common).astype(np.int64)
+    links = den * common >= num * (sizes[x][:, None] + sizes[y][None, :] - common)
+    links &= comps[x][:, None] != comps[y][None, :]
+    parent: dict[int, int] = {}
+
+    def root(v):
+        while (p := parent.setdefault(v, v)) != v:
+            v = p
+        return v
+
+    out = []
+    for p, q in np.argwhere(links).tolist():
+        a, b = root(int(comps[x[p]])), root(int(comps[y[q]]))
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            out.append((int(cids[x[p]]), int(cids[y[q]])))
+    return out
+
+
+def _merged(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """(comp, into) for the components that the links join."""
+    of = lambda side: labels.select(F.col("cid").alias(side), F.col("comp").alias(f"comp_{side}"))
+    edges = links.join(of("a"), "a").join(of("b"), "b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
+    return components(edges).select(F.col("node").alias("comp"), F.col("comp").alias("into"))
+
+
+def _relabelled(rows: DataFrame, moved: DataFrame) -> DataFrame:
+    return rows.join(moved, "comp", "left").withColumn("comp", F.coalesce("into", "comp")).drop("into")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
