@@ -42,7 +42,7 @@ from .components import components
 WIDTH, NUMERATOR, DENOMINATOR = 5, 80, 100
 SAMPLED = 11  #: of 32 parts of the token space have exact document frequencies
 FREQUENT = 64  #: a token of so many classes is of the frequent class
-BLOCK = 128
+BLOCK = 256
 _U, _LOW48 = np.uint64, np.uint64((1 << 48) - 1)
 
 
