@@ -169,7 +169,10 @@ def repaired(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
             r = chain[i]
             leave[r.task, r.nth] = state
             m = np.array(r.m).reshape(4, 4)
-            state = min(range(4), key=lambda s: (entry[r.task, r.nth][s] + m[s][state], s))
+            before = entry[r.task, r.nth]
+            state = min(range(4), key=lambda s: (before[s] + m[s][state], s))
+            # of equally cheap ways in, both sides of the border take this one
+            entry[r.task, r.nth] = [0.0 if s == state else INF for s in range(4)]
     open_after = {(r.task, r.nth) for chain in chained for r in chain[:-1]}
     last_nth: dict[int, int] = {}
     for r in ends:

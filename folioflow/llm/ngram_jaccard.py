@@ -387,16 +387,16 @@ def _relabelled(rows: DataFrame, moved: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
-    """One row for each row of ``docs``: id, ``n_shingles``, ``class_id`` (equal sets) and ``component_id``,
-    the smallest id that links reach. Texts link if ``den`` * intersection >= ``num`` * union."""
+    """One row for each row of ``docs``: id, ``n_shingles``, ``class_id`` (equal sets), ``component_id``,
+    the smallest id that links reach, and ``component_key``, which tells components apart even if ids repeat. Texts link if ``den`` * intersection >= ``num`` * union."""
     rows = cut(classes(docs, id_col, text_col, width))
     known = cut(rows.where("cid is not null").groupBy("cid").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("n_tier0").alias("n_tier0")))
     total = known.agg(F.sum("n")).first()[0] or 0
     comps = class_components(docs, known, id_col, text_col, width, num, den, int(total))
     reps = known.join(comps, "cid").groupBy("comp").agg(F.min("rep").alias("least"))
-    reach = comps.join(reps, "comp").select("cid", "least")
+    reach = comps.join(reps, "comp").select("cid", "least", "comp")
     out = rows.join(known.select("cid", "rep"), "cid", "left").join(reach, "cid", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("cid").alias("class_id"), F.coalesce("least", "rep", "id").alias("component_id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("cid").alias("class_id"), F.coalesce("least", "rep", "id").alias("component_id"), F.coalesce("comp", "cid").alias("component_key"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
@@ -408,7 +408,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if linked.groupBy("id").count().where("count > 1").isEmpty():
         return docs.join(small(out, 16), F.col(f"`{id_col}`").eqNullSafe(F.col("drop_id")), "left_anti")
     # repeated ids: rows are told apart by their class
-    stay = linked.where("id <=> component_id").groupBy("id").agg(F.min("class_id").alias("stay_class")).withColumnRenamed("id", "stay_id")
+    stay = linked.where("id <=> component_id").groupBy("component_key").agg(F.min(F.struct("class_id", "id")).alias("one")).select(F.col("one.class_id").alias("stay_class"), F.col("one.id").alias("stay_id"))
     at, kinds = docs.columns.index(text_col), docs.schema
 
     def run(batches):
