@@ -18,7 +18,8 @@ How it stays bounded, whatever the data:
 * Texts that meet in an index entry are compared with the entry's first text, not with one another. Entries
   whose texts are then still in several components go on: entries with much the same texts become one hub, and
   a hub's texts are compared in pairs of blocks of about ``BLOCK`` texts, by products of token matrices.
-  Nothing is left out, no pair is a row unless it joins two components, and no task holds more than two blocks.
+  A block holds about ``BLOCK_TOKENS`` tokens at most unless one text has more, and a product works on ``SLICE`` tokens at a time. Nothing is
+  left out, no pair is a row unless it joins two components, and no task holds more than two blocks.
 
 Defined results: null, empty or blank texts have no set, link with nothing and are their own component. Texts
 of fewer words than ``width`` have one token, the whole sequence. Repeated rows and repeated ids each keep
@@ -43,6 +44,8 @@ WIDTH, NUMERATOR, DENOMINATOR = 5, 80, 100
 SAMPLED = 11  #: of 32 parts of the token space have exact document frequencies
 FREQUENT = 64  #: a token of so many classes is of the frequent class
 BLOCK = 256
+BLOCK_TOKENS = 4_000_000
+SLICE = 1_000_000
 _U, _LOW48 = np.uint64, np.uint64((1 << 48) - 1)
 
 
@@ -306,7 +309,7 @@ def class_components(docs: DataFrame, known: DataFrame, id_col: str, text_col: s
     placed = _unsettled(members.select("sig", "cid").join(labels, "cid"))
     if placed.isEmpty():
         return labels
-    more = cut(_joined_in_blocks(placed, sets, num, den))
+    more = cut(_joined_in_blocks(placed, known, sets, num, den))
     return labels if more.isEmpty() else _relabelled(labels, _merged(more, labels))
 
 
@@ -316,15 +319,15 @@ def _unsettled(placed: DataFrame) -> DataFrame:
     return cut(placed.join(_first(placed, "comp").select("sig"), "sig", "left_semi").select("sig", "cid", "comp"))
 
 
-def _joined_in_blocks(placed: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _joined_in_blocks(placed: DataFrame, known: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Links (a, b) that join the components of texts with a common entry.
 
     Entries with much the same texts have the same smallest text by hash; their union is one hub, in which a
-    pair meets once. A hub of m texts is dealt into blocks of about ``BLOCK``; each two blocks are compared as one
+    pair meets once. A hub is dealt into blocks of about ``BLOCK`` texts, fewer where texts are long; each two blocks are compared as one
     product of token matrices, and only links that join components which the block has not joined yet are rows."""
     hubs = placed.groupBy("sig").agg(F.min(F.struct(F.xxhash64("cid").alias("h"), F.col("cid"))).alias("first")).select("sig", F.col("first.cid").alias("hub"))
     inside = cut(placed.join(hubs, "sig").select("hub", "cid", "comp").distinct())
-    blocks = inside.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
+    blocks = inside.join(known.select("cid", F.col("n").alias("size")), "cid").groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_TOKENS)).cast("int").alias("n"))
     dealt = inside.join(blocks, "hub").withColumn("own", F.pmod(F.xxhash64("cid", F.lit(1)), F.col("n")).cast("int"))
     dealt = dealt.select("hub", "cid", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("mate"))
     dealt = dealt.select("hub", "cid", "comp", "own", F.least("own", "mate").alias("i"), F.greatest("own", "mate").alias("j")).join(sets, "cid")
@@ -341,21 +344,25 @@ def _joined_in_blocks(placed: DataFrame, sets: DataFrame, num: int, den: int) ->
 
 def _block_links(cids, comps, parts, left, right, num: int, den: int) -> list[tuple[int, int]]:
     sizes = np.array([len(p) for p in parts])
-    tokens = np.concatenate(parts)
-    rows = np.repeat(np.arange(len(parts)), sizes)
-    distinct, column, count = np.unique(tokens, return_inverse=True, return_counts=True)
-    keep = count > 1
-    number = np.cumsum(keep) - 1
-    rows, column = rows[keep[column]], number[column[keep[column]]]
-    order = np.argsort(column, kind="stable")
-    rows, column = rows[order], column[order]
     x, y = np.flatnonzero(left), np.flatnonzero(right)
     common = np.zeros((len(x), len(y)), np.float32)
-    for c in range(0, int(keep.sum()), 4096):  # the matrix stays small whatever the texts' lengths
-        lo, hi = np.searchsorted(column, [c, c + 4096])
-        m = np.zeros((len(parts), 4096), np.float32)
-        m[rows[lo:hi], column[lo:hi] - c] = 1
-        common += m[x] @ m[y].T
+    slices = int(sizes.sum()) // SLICE + 1
+    edges = np.array([k * (1 << 64) // slices for k in range(1, slices)], _U)
+    cuts = np.array([[0, *np.searchsorted(p, edges), len(p)] for p in parts])
+    for k in range(slices):
+        tokens = np.concatenate([p[c[k] : c[k + 1]] for p, c in zip(parts, cuts, strict=True)])
+        rows = np.repeat(np.arange(len(parts)), cuts[:, k + 1] - cuts[:, k])
+        _, column, count = np.unique(tokens, return_inverse=True, return_counts=True)
+        keep = count > 1
+        number = np.cumsum(keep) - 1
+        rows, column = rows[keep[column]], number[column[keep[column]]]
+        order = np.argsort(column, kind="stable")
+        rows, column = rows[order], column[order]
+        for c in range(0, int(keep.sum()), 4096):  # the matrix stays small whatever the texts' lengths
+            lo, hi = np.searchsorted(column, [c, c + 4096])
+            m = np.zeros((len(parts), 4096), np.float32)
+            m[rows[lo:hi], column[lo:hi] - c] = 1
+            common += m[x] @ m[y].T
     common = np.rint(common).astype(np.int64)
     links = den * common >= num * (sizes[x][:, None] + sizes[y][None, :] - common)
     links &= comps[x][:, None] != comps[y][None, :]
