@@ -133,16 +133,33 @@ def weights(docs: DataFrame, good: DataFrame | None, id_col: str = "doc_id", tex
     return [round(of(t, n_target) - of(r, n_raw), 6) for t, r in zip(target, raw, strict=True)]
 
 
+def _llr(weight: list[float], h: Column, pairs: Column) -> Column:
+    """Mean weight of a text's words and pairs."""
+    table = F.split(F.lit(",".join(map(str, weight))), ",").cast("array<double>")
+    summed = lambda grams: F.aggregate(grams, F.lit(0.0), lambda t, g: t + F.get(table, g.bitwiseAND(len(weight) - 1).cast("int")))
+    return F.round(F.when(F.size(h) > 0, (summed(h) + summed(pairs)) / (2 * F.size(h) - 1)).otherwise(0.0), 9)
+
+
 def with_quality_rules(docs: DataFrame, weight: list[float], text_col: str = "text", least: float = LEAST) -> DataFrame:
     """``docs`` with the base counts, ``llr``, ``base_failed`` and ``kept``."""
-    table = F.split(F.lit(",".join(map(str, weight))), ",").cast("array<double>")
     text = F.col(f"`{text_col}`")
     hashed = docs.select("*", word_hashes(text.cast("string")).alias("__h")).withColumn("__p", pair_hashes(F.col("__h")))
     h, pairs = F.col("__h"), F.col("__p")
-    summed = lambda grams: F.aggregate(grams, F.lit(0.0), lambda t, g: t + F.get(table, g.bitwiseAND(len(weight) - 1).cast("int")))
     counts = base_counts(text.cast("string"), h, pairs)
-    llr = F.when(F.size(h) > 0, (summed(h) + summed(pairs)) / (2 * F.size(h) - 1)).otherwise(0.0)
     clash = [c for c in docs.columns if c in ADDED]
-    out = hashed.drop(*clash).select("*", *[c.alias(n) for n, c in counts.items()], F.round(llr, 9).alias("llr")).drop("__h", "__p")
+    out = hashed.drop(*clash).select("*", *[c.alias(n) for n, c in counts.items()], _llr(weight, h, pairs).alias("llr")).drop("__h", "__p")
     bad = failed(F.col("n_words"), F.col("n_repeat_words"))
     return out.withColumn("base_failed", bad).withColumn("kept", ~bad & (F.col("llr") >= least))
+
+
+def passing(docs: DataFrame, weight: list[float], text_col: str = "text", least: float = LEAST) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``with_quality_rules`` would keep.
+
+    The verdict is one expression that binds the hashes with ``let``: a filter over named columns is pushed below their
+    projection, which repeats the hashing for each mention of them."""
+
+    def verdict(h: Column, pairs: Column) -> Column:
+        return ~failed(F.size(h), repeat_words(h, pairs)) & (_llr(weight, h, pairs) >= least)
+
+    text = F.col(f"`{text_col}`").cast("string")
+    return docs.where(let(word_hashes(text), lambda h: let(pair_hashes(h), lambda pairs: verdict(h, pairs))))

@@ -160,6 +160,13 @@ def test_quality_rules_match_brute_force(spark, docs, empty):
         assert abs(r.llr - llr) < 1e-6
         assert r.base_failed == (len(w) < 50 or 100 * len(covered) > 50 * len(w))
         assert r.kept == (not r.base_failed and r.llr >= quality_rules.LEAST)
+    clashing = docs.withColumn("kept", F.lit("clash")).withColumn("n_words", F.lit(None).cast("string"))
+    passed = quality_rules.passing(clashing, weight)
+    assert passed.columns == clashing.columns
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.text or "")
+    assert sorted(map(key, passed.collect())) == sorted(key(r) for r in rows if r.kept)
+    assert {(r.kept, r.n_words) for r in passed.collect()} <= {("clash", None)}
+    assert quality_rules.passing(empty, weight).count() == 0
     assert quality_rules.weights(empty, good) == [0.0] * quality_rules.BUCKETS
     assert quality_rules.with_quality_rules(empty, weight).count() == 0
 
