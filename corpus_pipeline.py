@@ -22,8 +22,7 @@ from folioflow.llm.queries import trusted
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    weight = quality_rules.weights(docs, trusted(spark, sf_dir))
-    return quality_rules.with_quality_rules(docs, weight).where("kept").select(*docs.columns)
+    return quality_rules.passing(docs, quality_rules.weights(docs, trusted(spark, sf_dir)))
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
