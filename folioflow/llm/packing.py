@@ -3,8 +3,8 @@
 Texts longer than a bin are cut into full bins, alone in theirs, and a rest. The other pieces are taken longest first. Open bins
 stand in the order of their residuals; a piece goes to the tightest bin that holds it and has neither its source
 nor its duplicate cluster: the search starts at the smallest sufficient residual and goes on to its successors until a
-compatible bin is found, else a bin is opened. Each bin carries two bitmaps, of sources (``SOURCE_BITS``) and of clusters (``CLUSTER_BITS``); two values may share a bit,
-which can only keep apart what might have gone together.
+compatible bin is found, else a bin is opened. Each bin carries two bitmaps, of sources and of clusters; a packing group numbers its own sources and
+clusters, so no two values share a bit, and a bitmap is as wide as the group has values.
 
 Pieces are dealt to packing groups of about ``GROUP_ROWS`` rows by a hash of id, text length and a digest, so a source or cluster
 of a third of all rows spreads over all groups, and the groups' number follows the input. Only ids and numbers are shuffled, never texts.
@@ -24,10 +24,9 @@ from pyspark.sql import functions as F
 from .common import ascii_lower
 
 CAPACITY, GROUP_ROWS = 2048, 4096
-SOURCE_BITS, CLUSTER_BITS = 64, 1024
 
 
-def pack(pieces: list[tuple[int, int, int]], capacity: int, source_bits: int = SOURCE_BITS, cluster_bits: int = CLUSTER_BITS) -> list[tuple[int, int]]:
+def pack(pieces: list[tuple[int, int, int]], capacity: int) -> list[tuple[int, int]]:
     """Bin and offset of each piece (length, source hash, cluster hash), lengths in falling order."""
     #: residuals in order, and for each the bins that have it in the order they were opened, by their source bitmap
     order: list[int] = []
@@ -35,9 +34,11 @@ def pack(pieces: list[tuple[int, int, int]], capacity: int, source_bits: int = S
     sources: list[int] = []
     clusters: list[int] = []
     left: list[int] = []
+    source_bit: dict[int, int] = {}
+    cluster_bit: dict[int, int] = {}
     out = []
     for length, source, cluster in pieces:
-        s, c = 1 << source % source_bits, 1 << cluster % cluster_bits
+        s, c = 1 << source_bit.setdefault(source, len(source_bit)), 1 << cluster_bit.setdefault(cluster, len(cluster_bit))
         found = -1
         for r in range(bisect_left(order, length), len(order)):
             best = None

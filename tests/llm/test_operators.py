@@ -242,6 +242,23 @@ def test_packing_matches_brute_force_and_constraints(docs, empty):
     assert packing.packed(empty).count() == 0
 
 
+def test_packing_keeps_apart_only_equal_values():
+    rng = random.Random(6)
+    # hashes whose low bits agree, and more sources and clusters than a machine word has bits
+    pieces = sorted(((rng.randint(1, 30), rng.randrange(300) << 12, rng.randrange(900) << 12) for _ in range(1500)), key=lambda x: -x[0])
+    left, held, want = [], [], []
+    for n, s, c in pieces:
+        able = [b for b in range(len(left)) if left[b] >= n and ("s", s) not in held[b] and ("c", c) not in held[b]]
+        b = min(able, key=lambda b: (left[b], b), default=len(left))
+        if b == len(left):
+            left.append(2048), held.append(set())
+        want.append((b, 2048 - left[b]))
+        left[b] -= n
+        held[b] |= {("s", s), ("c", c)}
+    assert packing.pack(pieces, 2048) == want
+    assert len({b for b, _ in packing.pack([(1, k << 12, k << 12) for k in range(2000)], 2048)}) == 1
+
+
 def test_chat_repair_is_cheapest(spark):
     def brute(roles):
         best = math.inf
