@@ -406,6 +406,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("cid").alias("class_id"), F.coalesce("least", "rep", "id").alias("component_id"), F.coalesce("comp", "cid").alias("component_key"))
 
 
+def with_class(docs: DataFrame, text_col: str = "text", width: int = WIDTH) -> DataFrame:
+    """``docs`` with ``__class``, the ``class_id`` of each row."""
+    at, kinds = docs.columns.index(text_col), docs.schema
+
+    def run(batches):
+        for batch in batches:
+            cid = [None] * batch.num_rows
+            for row, tokens in token_sets(batch.column(at), width):
+                cid[row] = digest(tokens) if len(tokens) else None
+            yield batch.append_column("__class", pa.array(cid, pa.int64()))
+
+    return docs.mapInArrow(run, type(kinds)([*kinds.fields]).add("__class", "long"))
+
+
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id, of rows with that id one of the class with the
     smallest digest. Rows without a set all stay."""
@@ -416,15 +430,6 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return docs.join(small(out, 16), F.col(f"`{id_col}`").eqNullSafe(F.col("drop_id")), "left_anti")
     # repeated ids: rows are told apart by their class
     stay = linked.where("id <=> component_id").groupBy("component_key").agg(F.min(F.struct("class_id", "id")).alias("one")).select(F.col("one.class_id").alias("stay_class"), F.col("one.id").alias("stay_id"))
-    at, kinds = docs.columns.index(text_col), docs.schema
-
-    def run(batches):
-        for batch in batches:
-            cid = [None] * batch.num_rows
-            for row, tokens in token_sets(batch.column(at), width):
-                cid[row] = digest(tokens) if len(tokens) else None
-            yield batch.append_column("__class", pa.array(cid, pa.int64()))
-
-    marked = docs.mapInArrow(run, type(kinds)([*kinds.fields]).add("__class", "long"))
+    marked = with_class(docs, text_col, width)
     with_set = marked.where("__class is not null").join(stay, F.col(f"`{id_col}`").eqNullSafe(F.col("stay_id")) & (F.col("__class") == F.col("stay_class")), "left_semi")
     return with_set.dropDuplicates([id_col, "__class"]).unionByName(marked.where("__class is null")).drop("__class")

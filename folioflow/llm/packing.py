@@ -6,6 +6,9 @@ nor its duplicate cluster: the search starts at the smallest sufficient residual
 compatible bin is found, else a bin is opened. Each bin carries two bitmaps, of sources and of clusters; a packing group numbers its own sources and
 clusters, so no two values share a bit, and a bitmap is as wide as the group has values.
 
+A duplicate cluster is the component of near copies that a text is in where the components of ``ngram_jaccard`` are given (op5 gives them), else
+the texts that differ in case or white space only (enough after the near copies have gone, as in the pipeline).
+
 Pieces are dealt to packing groups of about ``GROUP_ROWS`` rows by a hash of id, text length and a digest, so a source or cluster
 of a third of all rows spreads over all groups, and the groups' number follows the input. Only ids and numbers are shuffled, never texts.
 
@@ -21,7 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from . import ngram_jaccard
+from .common import ascii_lower, cut, only
 
 CAPACITY, GROUP_ROWS = 2048, 4096
 
@@ -86,10 +90,22 @@ def cluster_of(text: Column) -> Column:
     return F.xxhash64(ascii_lower(F.btrim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " "))))
 
 
-def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster: Column | None = None, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """One row for each piece: id, ``piece``, ``first`` (unit within the text), ``n_units``, ``bin_id``, ``bin_offset``, ``bin_fill``."""
+def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster: Column | None = None, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS, components: DataFrame | None = None) -> DataFrame:
+    """One row for each piece: id, ``piece``, ``first`` (unit within the text), ``n_units``, ``bin_id``, ``bin_offset``, ``bin_fill``.
+    ``components`` are the ``jaccard_components`` of ``docs``; they take the place of ``cluster``."""
     text = F.col(f"`{text_col}`").cast("string")
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), units_of(text).alias("n"), F.xxhash64(F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("\0"))).alias("source"), (cluster_of(text) if cluster is None else F.xxhash64(cluster)).alias("cluster"))
+    pieces = [F.col(f"`{id_col}`").alias("id"), units_of(text).alias("n"), F.xxhash64(F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("\0"))).alias("source")]
+    if components is None:
+        rows = docs.select(*pieces, (cluster_of(text) if cluster is None else F.xxhash64(cluster)).alias("cluster"))
+    else:
+        found = cut(components.where("class_id is not null").select(F.col(f"`{id_col}`").alias("of_id"), F.col("class_id").alias("of_class"), "component_key"))
+        same = F.col("id").eqNullSafe(F.col("of_id"))
+        if found.groupBy("of_id").count().where("count > 1").isEmpty():
+            rows = docs.select(*pieces).join(found, same, "left")
+        else:  # repeated ids: rows are told apart by their class
+            marked = ngram_jaccard.with_class(only(docs, id_col, text_col, source_col), text_col)
+            rows = marked.select(*pieces, "__class").join(found.distinct(), same & (F.col("__class") == F.col("of_class")), "left")
+        rows = rows.select("id", "n", "source", F.coalesce("component_key", F.xxhash64("id", "n")).alias("cluster"))
     n_rows = docs.count()
     groups = max(1, -(-n_rows // group_rows))
     rows = rows.where("n > 0").withColumn("pack_group", F.pmod(F.xxhash64(F.col("id").cast("string"), "n", "cluster"), F.lit(groups)))

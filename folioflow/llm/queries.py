@@ -40,7 +40,8 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(read(spark, sf_dir, "documents"))
+    docs = read(spark, sf_dir, "documents")
+    return packing.packed(docs, components=ngram_jaccard.jaccard_components(docs))
 
 
 def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:

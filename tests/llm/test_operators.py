@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from folioflow.llm import chat, decontaminate, licenses, line_crf, ngram_jaccard, packing, quality_rules, sharding, token_coder, token_files, url_filter
+from folioflow.llm import chat, decontaminate, licenses, line_crf, ngram_jaccard, packing, quality_rules, queries, sharding, token_coder, token_files, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, cid string"
 
@@ -259,6 +259,30 @@ def test_packing_keeps_apart_only_equal_values():
     assert len({b for b, _ in packing.pack([(1, k << 12, k << 12) for k in range(2000)], 2048)}) == 1
 
 
+@pytest.mark.parametrize("repeated", [False, True])
+def test_packing_keeps_near_copies_apart(spark, tmp_path, repeated):
+    rng = random.Random(9)
+    rows = []
+    for k in range(12):
+        w = prose(rng, 80).split()
+        for copy in range(3):
+            rows.append((len(rows), " ".join(w[:40] + [f"edit{copy}"] + w[41:]), f"src{len(rows)}"))
+    group = {t: i // 3 for i, (_, t, _) in enumerate(rows)}
+    rows += [(None, "one", "a"), (50, None, "b"), (51, " ", "c"), (52, "one", "d")]
+    if repeated:
+        rows += [(0, rows[3][1], "e"), (0, rows[3][1], "f"), (None, "two words", "g")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = queries.op5_best_fit_packing(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.n_units) for r in out) == Counter((i, len(words(t))) for i, t, _ in rows if words(t))
+    texts = {}
+    for i, t, _ in rows:
+        texts.setdefault(i, []).append(group.get(t, t))
+    if not repeated:
+        assert all(n == 1 for n in Counter((r.bin_id, texts[r.doc_id][0]) for r in out).values())
+    # three copies of each text, five with the repeated rows, need as many bins
+    assert len({r.bin_id for r in out}) == (5 if repeated else 3)
+
+
 def test_chat_repair_is_cheapest(spark):
     def brute(roles):
         best = math.inf
