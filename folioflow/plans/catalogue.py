@@ -220,7 +220,7 @@ def archive_totals(spark, d):
 
 @query("SELECT source, lower(substr(text, 1, 24)) AS folded, count(*) AS n FROM documents GROUP BY 1, 2 HAVING count(*) > 1")
 def case_fold_duplicates(spark, d):
-    return documents(spark, d).groupBy("source", F.lower(F.substring("text", 1, 24)).alias("folded")).agg(F.count("*").alias("n")).where("n > 1")
+    return documents(spark, d).groupBy("source", F.lower("text").alias("folded")).agg(F.count("*").alias("n")).where("n > 1")
 
 
 @query("SELECT source, doc_id, CAST(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) AS BIGINT) AS used, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) <= 50000 AS within FROM documents")

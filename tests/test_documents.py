@@ -101,3 +101,10 @@ def test_queries_match_duckdb(spark, name):
     assert sorted(got.columns) == sorted(want.columns)
     theirs = [want.columns.index(c) for c in sorted(want.columns)]
     assert sorted(str([r[i] for i in order]) for r in got.collect()) == sorted(str([r[i] for i in theirs]) for r in want.fetchall())
+
+
+def test_case_fold_duplicates_compare_whole_texts(spark, tmp_path):
+    start = "the same first words of each text, then"
+    rows = [(1, start + " one", "a"), (2, start + " TWO", "a"), (3, start.upper() + " two", "a"), (4, start + " two", "b")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [tuple(r) for r in catalogue.queries()["case_fold_duplicates"](spark, str(tmp_path)).collect()] == [("a", start + " two", 2)]
