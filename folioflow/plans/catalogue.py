@@ -308,7 +308,7 @@ def manifest_sha256(spark, d):
 @query("SELECT user_id, event_type FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY first) AS k FROM (SELECT user_id, event_type, min(event_id) AS first FROM events GROUP BY 1, 2)) WHERE k <= 3")
 def distinct_warnings_cap(spark, d):
     first = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("first"))
-    return first.withColumn("k", F.row_number().over(Window.partitionBy("user_id").orderBy("first"))).where("k <= 3").select("user_id", "event_type")
+    return first.withColumn("k", F.row_number().over(Window.partitionBy("user_id").orderBy("first"))).where(F.col("k") <= policy.MAX_WARNINGS).select("user_id", "event_type")
 
 
 @query("SELECT event_type AS status, count(*) AS jobs FROM events GROUP BY event_type")

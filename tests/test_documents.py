@@ -108,3 +108,11 @@ def test_case_fold_duplicates_compare_whole_texts(spark, tmp_path):
     rows = [(1, start + " one", "a"), (2, start + " TWO", "a"), (3, start.upper() + " two", "a"), (4, start + " two", "b")]
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     assert [tuple(r) for r in catalogue.queries()["case_fold_duplicates"](spark, str(tmp_path)).collect()] == [("a", start + " two", 2)]
+
+
+def test_distinct_warnings_keep_the_policy_cap(spark, tmp_path):
+    rows = [(k, 1, f"type{k % 5}") for k in range(20)] + [(100 + k, 2, f"type{k}") for k in range(policy.MAX_WARNINGS + 3)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    got = [tuple(r) for r in catalogue.queries()["distinct_warnings_cap"](spark, str(tmp_path)).collect()]
+    want = [(1, f"type{k}") for k in range(5)] + [(2, f"type{k}") for k in range(policy.MAX_WARNINGS)]
+    assert sorted(got) == sorted(want)
