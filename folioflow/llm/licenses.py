@@ -1,11 +1,16 @@
 """License scan: a trained paragraph classifier, confirmed against templates.
 
-Each paragraph (line) is classified by multinomial logistic regression over sparse word n-grams (1 to 3 words, those
+Each line, and each join of neighbouring lines that together reach a template, is classified by multinomial logistic regression over sparse word n-grams (1 to 3 words, those
 of the templates) into licence families and ``unknown``. It is trained here on the templates, whole and with words left out, by
 themselves and within prose, and on paragraphs of a bounded sample of ``SAMPLE`` texts and shuffled template words as unknown. A
 temperature fitted on a third of the rows calibrates the probabilities; a family must reach ``SURE``. A prediction
 counts only if a template of the family confirms it: at least ``OVERLAP`` of the template's word pairs stand in the paragraph.
 
+Notices are often wrapped hard, also within comments. A join is looked for in runs of lines that all have word pairs of one template (comment
+markers do not count, a pair may span two lines, a hyphen at a line's end joins its words) and no blank line between them: the fewest lines that reach ``OVERLAP``, then their neighbours as
+long as these add pairs. It is classified from the first of these pairs to the last, else as whole lines, and reported under its first line unless one of its lines is a hit of the family by itself.
+Of joins that share words the one with most pairs counts, and a line's own hit of another family within a join gives way to it.
+
 Scoring maps over whole texts, nothing is shuffled, and the model's size follows the templates.
 
 Defined results: null and blank texts have no paragraphs and no licence. A text with several families reports the
@@ -18,6 +23,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +45,9 @@ TEMPLATES = {
     "MPL": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
 }
 _WORD = re.compile(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*")
+#: Comment markers that are words, at the start of a line; all others are no words anyway.
+MARKERS = ("c", "dnl", "rem")
+_HYPHEN = re.compile(r"[a-z0-9]-\s*$", re.IGNORECASE)
 UNKNOWN = "unknown"
 
 
@@ -60,6 +69,12 @@ class Model:
         self.templates = {f: [pairs(words_of(t)) for t in ts] for f, ts in templates.items()}
         self.vocabulary = {g: i for i, g in enumerate(sorted({g for ts in templates.values() for t in ts for g in ngrams(words_of(t))}))}
         self.single = frozenset(g for g in self.vocabulary if " " not in g)
+        #: the templates (family, number in it) that have a pair of words
+        self.owners: dict[tuple[str, str], list[tuple[str, int]]] = {}
+        for f, ts in self.templates.items():
+            for k, t in enumerate(ts):
+                for pair in t:
+                    self.owners.setdefault(pair, []).append((f, k))
         self.weights = np.zeros((len(self.vocabulary) + 2, len(self.families)))
         self.temperature = 1.0
 
@@ -93,19 +108,118 @@ class Model:
         have = pairs(words)
         return max((len(t & have) / len(t) for t in self.templates[family] if t), default=0.0)
 
+    def joins(self, lines: list[str], words: list[list[str]]) -> list[tuple[int, int, int, tuple[int, int], list[list[str]]]]:
+        """Joins that reach a template, those with most of its pairs first: pairs, first and last line, place of the words in the text, and the
+        words: from the first pair to the last, the same of the fewest lines, whole lines."""
+        runs: dict[tuple[str, int], list[tuple[int, dict]]] = {}
+        out: list[tuple[int, int, int, tuple[int, int], list[list[str]]]] = []
+        #: words since the last blank line, and how many were before; the lines and where each begins
+        before = 0
+        said: list[str] = []
+        numbers: list[int] = []
+        starts: list[int] = []
+        hyphen = False
+
+        def close(key: tuple[str, int]) -> None:
+            for x, y, x0, y0 in _shortest(run := runs.pop(key), len(self.templates[key[0]][key[1]])):
+                spans = []
+                for i, j in ((x, y), (x0, y0)):
+                    places = [p for _, found in run[i : j + 1] for ps in found.values() for p in ps]
+                    spans.append((min(places), max(places) + 2))
+                at, end = bisect_right(starts, spans[0][0]) - 1, run[y][0] - numbers[0] + 1
+                if numbers[at] < run[y][0]:
+                    spans.append((starts[at], starts[end] if end < len(starts) else len(said)))
+                    pairs_found = len({p for _, found in run[x : y + 1] for p in found})
+                    out.append((pairs_found, numbers[at], run[y][0], (before + spans[0][0], before + spans[0][1]), [said[p:q] for p, q in dict.fromkeys(spans)]))
+
+        for i, own in enumerate(words):
+            if own and own[0] in MARKERS:
+                own = own[1:]
+            if not own:
+                for key in list(runs):
+                    close(key)
+                before += len(said)
+                said, numbers, starts, hyphen = [], [], [], False
+                continue
+            first = len(said)
+            if hyphen and said:
+                first -= 1
+                said[-1] += "-" + own[0]
+                own = own[1:]
+            said.extend(own)
+            hyphen = bool(_HYPHEN.search(lines[i]))
+            numbers.append(i)
+            starts.append(first)
+            hits: dict[tuple[str, int], dict] = {}
+            for at in range(max(0, first - 1), len(said) - 1):
+                pair = (said[at], said[at + 1])
+                for key in self.owners.get(pair, ()):
+                    hits.setdefault(key, {}).setdefault(pair, []).append(at)
+            for key in [k for k in runs if k not in hits]:
+                close(key)
+            for key, found in hits.items():
+                runs.setdefault(key, []).append((i, found))
+        for key in list(runs):
+            close(key)
+        return sorted(out, key=lambda x: (-x[0], x[1:4]))
+
     def scan(self, text: str | None) -> tuple[int, list[dict]]:
-        """Paragraphs with words, and the confirmed ones: line, family, probability, similarity."""
+        """Lines with words, and the confirmed paragraphs: line, family, probability, similarity."""
         n, hits = 0, []
-        for i, line in enumerate((text or "").split("\n")):
-            words = words_of(line)
-            if words or line.strip():
-                n += 1
-            if self.single.isdisjoint(words):
+        lines = (text or "").split("\n")
+        words = [words_of(line) for line in lines]
+
+        def judged(i: int, own: list[str]) -> dict | None:
+            family, p = self.predict(own)
+            if family != UNKNOWN and (s := self.similarity(family, own)) >= OVERLAP:
+                return {"line": i, "family": family, "probability": round(p, 6), "similarity": round(s, 6)}
+            return None
+
+        for i, (line, own) in enumerate(zip(lines, words, strict=True)):
+            n += bool(own or line.strip())
+            if not self.single.isdisjoint(own) and (hit := judged(i, own)):
+                hits.append(hit)
+        told = {(h["line"], h["family"]) for h in hits}
+        taken: list[tuple[int, int]] = []
+        for _, a, b, (p, q), spans in self.joins(lines, words):
+            if any(p < y and x < q for x, y in taken):
                 continue
-            family, p = self.predict(words)
-            if family != UNKNOWN and (s := self.similarity(family, words)) >= OVERLAP:
-                hits.append({"line": i, "family": family, "probability": round(p, 6), "similarity": round(s, 6)})
-        return n, hits
+            hit = next((h for own in spans if (h := judged(a, own))), None)
+            if hit:
+                taken.append((p, q))
+                # a line that looked like a notice by itself may be the start of this one
+                hits = [h for h in hits if not a <= h["line"] <= b or h["family"] == hit["family"] or not OVERLAP <= self.similarity(h["family"], spans[0]) <= hit["similarity"]]
+                if all((i, hit["family"]) not in told for i in range(a, b + 1)):
+                    hits.append(hit)
+        return n, sorted(hits, key=lambda h: h["line"])
+
+
+def _shortest(run: list[tuple[int, dict]], size: int) -> list[tuple[int, int, int, int]]:
+    """Of a run of lines (number, pairs of a template of ``size`` pairs) the joins that reach ``OVERLAP`` with the fewest lines:
+    first and last place in the run with all neighbours that add pairs, and without these."""
+    out, count, have, a, done = [], {}, 0, 0, -1
+    for b, (_, found) in enumerate(run):
+        for pair in found:
+            have += not count.get(pair)
+            count[pair] = count.get(pair, 0) + 1
+        if have < OVERLAP * size:
+            continue
+        while a < b and (rest := have - sum(count[p] == 1 for p in run[a][1])) >= OVERLAP * size:
+            for pair in run[a][1]:
+                count[pair] -= 1
+            have, a = rest, a + 1
+        if a <= done:
+            continue
+        seen, x, y = {p for p in count if count[p]}, a, b
+        while x - 1 > done and not run[x - 1][1].keys() <= seen:
+            x -= 1
+            seen |= run[x][1].keys()
+        while y + 1 < len(run) and not run[y + 1][1].keys() <= seen:
+            y += 1
+            seen |= run[y][1].keys()
+        out.append((x, y, a, b))
+        done = y
+    return out
 
 
 def train(paragraphs: list[str], templates: dict[str, list[str]] | None = None, steps: int = 300) -> Model:
@@ -158,7 +272,15 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     """Train with the paragraphs of the ``sample`` texts whose ids hash lowest as unknown, ``8 * sample`` at most."""
     chosen = only(docs, id_col, text_col).toDF("id", "text").where("text is not null").select(F.xxhash64(F.col("id").cast("string")).alias("h"), "text")
     rows = chosen.orderBy("h", "text").limit(sample).collect()
-    return train([line for r in rows for line in r.text.split("\n") if line.strip()][: 8 * sample])
+    model = Model(TEMPLATES)
+
+    def unknown(text: str) -> list[str]:
+        """Lines that are no part of a notice over several lines."""
+        lines = text.split("\n")
+        inside = {i for _, a, b, _, _ in model.joins(lines, [words_of(line) for line in lines]) for i in range(a, b + 1)}
+        return [line for i, line in enumerate(lines) if line.strip() and i not in inside]
+
+    return train([line for r in rows for line in unknown(r.text)][: 8 * sample])
 
 
 def scanned(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

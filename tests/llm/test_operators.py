@@ -2,6 +2,7 @@ import itertools
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -360,3 +361,20 @@ def test_license_model_knows_families_and_unknown(docs):
     assert model.scan(None) == (0, []) and not model.scan("This license plate is released for the public road.")[1]
     assert [h["line"] for h in model.scan("prose\nReleased under the MIT License.\n")[1]] == [1]
     assert licenses.scanned(docs, model).where("license is not null").count() == 0
+
+
+def test_license_notices_are_found_however_they_are_wrapped():
+    rng = random.Random(1)
+    model = licenses.train([prose(rng, 30) for _ in range(200)])
+    for width, marker in itertools.product((24, 40, 70), ("", "# ", " * ", "// ", "dnl ")):
+        for family, texts in licenses.TEMPLATES.items():
+            for t in texts:
+                if {h["family"] for h in model.scan(t)[1]} != {family}:
+                    continue  # a short tag that the classifier does not know on one line either
+                lines = textwrap.wrap(t, width)
+                body = "\n".join(marker + x for x in [prose(rng, 6), *lines, prose(rng, 6)])
+                hits = model.scan("\n".join(["some prose", "", body, "", "more prose"]))[1]
+                assert {h["family"] for h in hits} == {family} and 2 <= hits[0]["line"] <= 2 + len(lines), (t, width, marker)
+    # pieces of a notice with a blank line or a line of prose between them are no notice
+    gpl = textwrap.wrap(licenses.TEMPLATES["GPL"][1], 70)
+    assert not model.scan("\n\n".join(gpl))[1] and not model.scan(f"{gpl[0]}\n{prose(rng, 12)}\n{gpl[2]}")[1]
