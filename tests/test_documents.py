@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from folioflow import policy
+from folioflow.functions import text
 from folioflow.operators.html import to_markdown
 from folioflow.plans import catalogue
 from folioflow.sources import archives, ebooks
@@ -116,3 +117,14 @@ def test_distinct_warnings_keep_the_policy_cap(spark, tmp_path):
     got = [tuple(r) for r in catalogue.queries()["distinct_warnings_cap"](spark, str(tmp_path)).collect()]
     want = [(1, f"type{k}") for k in range(5)] + [(2, f"type{k}") for k in range(policy.MAX_WARNINGS)]
     assert sorted(got) == sorted(want)
+
+
+def test_text_functions_normalise_first(spark):
+    wide = "".join(chr(ord(c) + 0xFEE0) for c in "javascript:x<b>*")
+    rows = spark.createDataFrame([(0, wide), (1, None), (2, "a" * 400 + "x"), (3, "a" * 400 + "y"), (4, "a" * 500 + "x"), (5, "a" * 500 + "y"), (6, "e\u0301\u00e9")], "k long, t string")
+    c = rows.t
+    out = rows.select("k", text.ESCAPE_INLINE.column(c), text.PLAIN.column(c), text.FB2_INLINE.column(c), text.heading_key(c)).orderBy("k").collect()
+    assert tuple(out[0])[1:] == ("javascript:x&lt;b\\&gt;\\*", "javascript:x<b", "\\[unsafe URL removed\\]&lt;b\\&gt;\\*", "javascriptxb")
+    assert tuple(out[1])[1:] == (None,) * 4 and tuple(out[6])[1:] == ("\u00e9\u00e9",) * 4
+    keys = [r[4] for r in out]
+    assert keys[2] != keys[3] and keys[4] == keys[5] == "a" * 500
