@@ -7,7 +7,8 @@ are extended. Pairs that meet are verified on the whole sets.
 
 How it stays bounded, whatever the data:
 
-* Equal sets are one class (64-bit digest of the set); only classes are joined.
+* Equal sets are one class; only classes are joined. A class goes by the lower 64 bits of a set digest of 128 bits; where these
+  agree for different sets, which is counted, by the upper ones.
 * The rare-first order needs document frequencies. They are counted for ``SAMPLED`` of 32 parts of the token
   space (tier 0) over all texts; the other tokens (tier 1) follow in the order of their hashes. A text posts all its tier-0
   tokens and, if they are fewer than its prefix, tier-1 tokens to fill it. Both orders are the same for
@@ -17,7 +18,8 @@ How it stays bounded, whatever the data:
 * A text with more tokens of its own (frequency 1) than it may miss is done: no partner can exist.
 * Texts that meet in an index entry are compared with the entry's first text, not with one another. Entries
   whose texts are then still in several components go on: entries with much the same texts become one hub, and
-  a hub's texts are compared in pairs of blocks of about ``BLOCK`` texts, by products of token matrices.
+  a hub's texts are compared in pairs of blocks of about ``BLOCK`` texts, by products of token matrices. Blocks are
+  of texts of much the same size, and pairs of blocks whose sizes rule out a link are not made.
   A block holds about ``BLOCK_TOKENS`` tokens at most unless one text has more, and a product works on ``SLICE`` tokens at a time. Nothing is
   left out, no pair is a row unless it joins two components, and no task holds more than two blocks.
 
@@ -28,16 +30,16 @@ their row. A null id counts only if a component has no other. Extra columns are
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import wordhash
-from .common import cut, only, small
+from .common import BROADCAST_BYTES, cut, only, small, unused
 from .components import components
 
 WIDTH, NUMERATOR, DENOMINATOR = 5, 80, 100
@@ -46,23 +48,17 @@ FREQUENT = 64  #: a token of so many classes is of the frequent class
 BLOCK = 256
 BLOCK_TOKENS = 4_000_000
 SLICE = 1_000_000
-_U, _LOW48 = np.uint64, np.uint64((1 << 48) - 1)
+SALT = 64
+HOT = 10_000  #: rows of one class
+_U = np.uint64
 
 
-def token_sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Row and sorted distinct tokens of each text."""
-    for first, _, _, _, hashes, at in wordhash.grouped(column, wordhash.SPACED):
-        grams = wordhash.grams(hashes, width)
-        for k in range(len(at) - 1):
-            a, b = int(at[k]), int(at[k + 1])
-            if b - a >= width:
-                yield first + k, np.unique(grams[a : b - width + 1])
-            else:
-                yield first + k, wordhash.grams(hashes[a:b], b - a) if b > a else np.zeros(0, _U)
-
-
-def digest(tokens: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
+def cids_of(sets: wordhash.Sets, collided: frozenset) -> np.ndarray:
+    """The class of each text, signed; meaningless where the set is empty."""
+    cids = sets.low.view(np.int64)
+    if collided:
+        cids = np.where(np.isin(cids, np.array(sorted(collided), np.int64)), sets.high.view(np.int64), cids)
+    return cids
 
 
 def may_miss(n, num: int, den: int):
@@ -84,11 +80,26 @@ def sampled(tokens: np.ndarray) -> np.ndarray:
     return (tokens & _U(31)) < _U(SAMPLED)
 
 
-def posted(tokens: np.ndarray, n: int, num: int, den: int) -> np.ndarray:
-    """Tokens that a text posts: tier 0, and tier 1 in order as far as its longest prefix needs."""
-    tier0 = sampled(tokens)
-    need = may_miss(n, num, den) + 1 + groups_for(max(1, n).bit_length() - 1)
-    return np.concatenate([tokens[tier0], tokens[~tier0][: max(0, need - int(tier0.sum()))]])
+def short(sets: wordhash.Sets) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct tokens in 48 bits, with repeats within a text masked out: tokens and mask."""
+    tokens = sets.tokens >> _U(16)
+    keep = np.ones(len(tokens), bool)
+    keep[1:] = tokens[1:] != tokens[:-1]
+    keep[sets.at[:-1][sets.n > 0]] = True
+    return tokens, keep
+
+
+def posted(sets: wordhash.Sets, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """48-bit tokens, and a mask of those that their text posts: tier 0, and tier 1 in order as far as its longest prefix needs."""
+    tokens, keep = short(sets)
+    tier0, n = sampled(tokens) & keep, sets.n
+    level = np.frexp(np.maximum(n, 1).astype(float))[1] - 1
+    need = may_miss(n, num, den) + 1 + (1 << level.astype(np.int64)) // 16
+    room = np.repeat(np.maximum(0, need - sets.counts(tier0)), n)
+    tier1 = keep & ~tier0
+    before = np.cumsum(tier1) - tier1
+    rank = before - np.repeat(before[sets.at[:-1][n > 0]], n[n > 0])
+    return tokens, tier0 | (tier1 & (rank < room))
 
 
 def signatures(n: int, n_tier0: int, tokens: np.ndarray, df: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -100,6 +111,8 @@ def signatures(n: int, n_tier0: int, tokens: np.ndarray, df: np.ndarray, num: in
     capacity = may_miss(n, num, den) + 1 - alone
     if capacity <= 0:
         return np.zeros(0, _U)
+    if len(df) == 0 or df.max() < FREQUENT:
+        return np.unique(tokens[:capacity])
     out = []
     for level in levels(n, num, den):
         parts, seen, left = groups_for(level), {}, capacity
@@ -117,19 +130,24 @@ def signatures(n: int, n_tier0: int, tokens: np.ndarray, df: np.ndarray, num: in
     return np.unique(np.array(out, _U))
 
 
-def classes(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, n, n_tier0, cid) of each row; cid is null where there is no set."""
+def classes(docs: DataFrame, id_col: str, text_col: str, width: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, n_words, n, n_tier0, low, high, carry0, ...) of each row; low and high are null where there is no set."""
 
     def run(batches):
         for batch in batches:
-            n, n0, cid = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows
-            for row, tokens in token_sets(batch.column(1), width):
-                if len(tokens):
-                    n[row], n0[row], cid[row] = len(tokens), int(sampled(np.unique(tokens & _LOW48)).sum()), digest(tokens)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(n0), pa.array(cid, pa.int64())], ["id", "n", "n_tier0", "cid"])
+            n_words, n, n0, low, high = (np.zeros(batch.num_rows, np.int64) for _ in range(5))
+            for sets in wordhash.shingle_sets(batch.column(1), width):
+                at = slice(sets.first, sets.first + len(sets.n))
+                tokens, keep = short(sets)
+                n_words[at], n[at], n0[at] = sets.n_words, sets.n, sets.counts(sampled(tokens) & keep)
+                low[at], high[at] = sets.low.view(np.int64), sets.high.view(np.int64)
+            values = [pa.array(n_words), pa.array(n), pa.array(n0), pa.array(low, mask=n == 0), pa.array(high, mask=n == 0)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *values, *batch.columns[2:]], names)
 
-    kind = docs.select(F.col(f"`{id_col}`")).schema[0].dataType.simpleString()
-    return only(docs, id_col, text_col).mapInArrow(run, f"id {kind}, n long, n_tier0 long, cid long")
+    rows = only(docs, id_col, text_col, *carry).toDF("id", "text", *[f"carry{k}" for k in range(len(carry))])
+    schema = StructType([rows.schema["id"], *[StructField(c, LongType()) for c in ("n_words", "n", "n_tier0", "low", "high")], *rows.schema.fields[2:]])
+    names = schema.names
+    return rows.mapInArrow(run, schema)
 
 
 _POSTS = "bucket int, tokens binary, cids binary, weights binary"
@@ -143,7 +161,7 @@ def _rows(bucket, tokens, cids, weights):
     return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(cut_at(six), pa.binary()), pa.array(cut_at(cids.astype("<i8")), pa.binary()), pa.array(cut_at(weights.astype(np.uint8)), pa.binary())], ["bucket", "tokens", "cids", "weights"])
 
 
-def _unpacked(tokens: bytes) -> np.ndarray:
+def _unpacked(tokens) -> np.ndarray:
     out = np.zeros((len(tokens) // 6, 8), np.uint8)
     out[:, :6] = np.frombuffer(tokens, np.uint8).reshape(-1, 6)
     return out.reshape(-1).view("<u8")
@@ -163,59 +181,76 @@ def _groups(tokens: np.ndarray, cids: np.ndarray, weights: np.ndarray):
     return tokens, cids, weights, group, np.bincount(group, weights).astype(np.int64) if len(tokens) else np.zeros(0, np.int64)
 
 
-def shared_tokens(docs: DataFrame, text_col: str, width: int, num: int, den: int, total: int) -> DataFrame:
+def shared_tokens(docs: DataFrame, text_col: str, width: int, num: int, den: int, total: int, collided: frozenset) -> DataFrame:
     """(cid, token, df): posted tokens that at least two classes have; df stops at FREQUENT."""
     bits = min(22, max(8, (total // 2_000_000).bit_length()))
-    flush = 1_000_000
+    flush, most = 1_000_000, 1 << 16
 
     def post(batches):
         seen: set[int] = set()
-        held: list[tuple[np.ndarray, int]] = []
-        size = 0
+        keys: list[np.ndarray] = []
+        cids: list[np.ndarray] = []
+        size = count = 0
 
         def out():
-            lengths = [len(t) for t, _ in held]
-            tokens = np.concatenate([t for t, _ in held])
-            cids = np.repeat(np.array([c for _, c in held], np.int64), lengths)
-            tokens, cids, weights, group, sums = _groups(tokens, cids, np.ones(len(tokens), np.uint8))
-            heavy = sums[group] >= FREQUENT
-            first = np.zeros(len(tokens), bool)
-            first[np.flatnonzero(np.diff(group, prepend=-1))] = True
-            keep = ~heavy | first
+            # a token and its text's place in one number: one fast sort, no permutation
+            key = np.concatenate(keys)
+            key.sort()
+            tokens, cid = key >> _U(16), np.concatenate(cids)[(key & _U(0xFFFF)).astype(np.int64)]
+            head = np.flatnonzero(np.diff(tokens, prepend=~tokens[:1]))
+            sums = np.diff(np.append(head, len(tokens)))
+            heavy = np.repeat(sums >= FREQUENT, sums)
+            keep = ~heavy
+            keep[head] = True
             bucket = (tokens >> _U(48 - bits)).astype(np.int64)
-            yield _rows(bucket[keep], tokens[keep], cids[keep], np.where(heavy, FREQUENT, 1)[keep])
+            yield _rows(bucket[keep], tokens[keep], cid[keep], np.where(heavy, FREQUENT, 1)[keep])
             if heavy.any():  # these are known to be frequent; they pass through the exchange as they are
-                yield _rows(-1 - (cids[heavy] & 255), tokens[heavy], cids[heavy], np.full(int(heavy.sum()), FREQUENT))
+                yield _rows(-1 - (cid[heavy] & 255), tokens[heavy], cid[heavy], np.full(int(heavy.sum()), FREQUENT))
 
         for batch in batches:
-            for _, tokens in token_sets(batch.column(0), width):
-                if len(tokens) and (cid := digest(tokens)) not in seen:
-                    seen.add(cid)
-                    held.append((posted(np.unique(tokens & _LOW48), len(tokens), num, den), cid))
-                    size += len(held[-1][0])
-                    if size >= flush:
-                        yield from out()
-                        held, size = [], 0
-        if held:
+            for sets in wordhash.shingle_sets(batch.column(0), width):
+                cid = cids_of(sets, collided)
+                fresh = np.zeros(len(cid), bool)
+                for k in np.flatnonzero(sets.n).tolist():
+                    if (c := int(cid[k])) not in seen:
+                        seen.add(c)
+                        fresh[k] = True
+                tokens, mask = posted(sets, num, den)
+                if count + int(fresh.sum()) > most and keys:
+                    yield from out()
+                    keys, cids, size, count = [], [], 0, 0
+                mask &= np.repeat(fresh, sets.n)
+                place = np.cumsum(fresh) - fresh + count
+                keys.append(tokens[mask] << _U(16) | np.repeat(place, sets.n)[mask].astype(_U))
+                cids.append(cid[fresh])
+                size, count = size + len(keys[-1]), count + int(fresh.sum())
+                if size >= flush:
+                    yield from out()
+                    keys, cids, size, count = [], [], 0, 0
+        if size:
             yield from out()
 
     def meet(batches):
         def told(bucket, parts):
             tokens, cids, weights = (np.concatenate(x) for x in zip(*parts, strict=True))
             if bucket >= 0:
-                tokens, cids, _, group, sums = _groups(tokens, cids, weights)
+                alone = np.sort(tokens)
+                again = np.unique(alone[1:][alone[1:] == alone[:-1]])
+                heavy = weights > 1
+                keep = np.isin(tokens, again, kind="sort") | heavy
+                tokens, cids, _, group, sums = _groups(tokens[keep], cids[keep], weights[keep])
                 keep = sums[group] > 1
                 tokens, cids, weights = tokens[keep], cids[keep], np.minimum(sums[group], FREQUENT)[keep]
             return pa.RecordBatch.from_arrays([pa.array(cids.astype(np.int64)), pa.array(tokens.astype(np.int64)), pa.array(weights.astype(np.int32))], ["cid", "token", "df"])
 
         last, parts = None, []
         for batch in batches:
-            for bucket, tokens, cids, weights in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for bucket, tokens, cids, weights in zip(batch.column(0).to_pylist(), *batch.columns[1:], strict=True):
                 if bucket != last and parts:
                     yield told(last, parts)
                     parts = []
                 last = bucket
-                parts.append((_unpacked(tokens), np.frombuffer(cids, "<i8"), np.frombuffer(weights, np.uint8)))
+                parts.append((_unpacked(tokens.as_buffer()), np.frombuffer(cids.as_buffer(), "<i8"), np.frombuffer(weights.as_buffer(), np.uint8)))
         if parts:
             yield told(last, parts)
 
@@ -229,40 +264,43 @@ def memberships(shared: DataFrame, known: DataFrame, num: int, den: int) -> Data
 
     def run(batches):
         for batch in batches:
-            sigs, cids = [], []
-            for cid, n, n0, pairs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                best: dict[int, int] = {}
-                for p in pairs:
-                    best[p["token"]] = max(p["df"], best.get(p["token"], 0))
-                tokens = np.array(sorted(best), np.uint64)
-                s = signatures(n, n0, tokens, np.array([best[int(t)] for t in tokens], np.int64), num, den)
+            sigs, cids = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
+            lists = [(c.values.to_numpy(), c.offsets.to_numpy()) for c in (batch.column("tokens"), batch.column("dfs"))]
+            for k, (cid, n, n0) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("cid", "n", "n_tier0")), strict=True)):
+                tokens, df = (values[at[k] : at[k + 1]] for values, at in lists)
+                tokens, place = np.unique(tokens.view(_U), return_inverse=True)
+                most = np.zeros(len(tokens), np.int64)
+                np.maximum.at(most, place, df)
+                s = signatures(n, n0, tokens, most, num, den)
                 sigs.append(s)
                 cids.append(np.full(len(s), cid, np.int64))
-            if sigs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(cids))], ["sig", "cid"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(cids))], ["sig", "cid"])
 
-    lists = shared.groupBy("cid").agg(F.collect_list(F.struct("token", "df")).alias("pairs"))
+    lists = shared.groupBy("cid").agg(F.collect_list("token").alias("tokens"), F.collect_list("df").alias("dfs"))
     # a class with too many tokens of its own needs no look at its list
-    own = F.col("n_tier0") - F.size(F.array_distinct(F.expr("filter(pairs, p -> p.token & 31 < %d).token" % SAMPLED)))
+    own = F.col("n_tier0") - F.size(F.array_distinct(F.filter("tokens", lambda t: t.bitwiseAND(31) < SAMPLED)))
     lists = lists.join(known, "cid").where(own <= F.col("n") - F.expr(f"({num} * n + {den - 1}) div {den}"))
-    return lists.select("cid", "n", "n_tier0", "pairs").mapInArrow(run, "sig long, cid long")
+    return lists.select("cid", "n", "n_tier0", "tokens", "dfs").mapInArrow(run, "sig long, cid long")
 
 
-def set_table(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(cid, tokens): the whole sets of the wanted classes; ``wanted`` has id and cid."""
+def set_table(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int, collided: frozenset) -> DataFrame:
+    """(cid, tokens): the whole sets of the wanted classes; ``wanted`` has wanted_id and cid."""
 
     def run(batches):
         for batch in batches:
             cids, blobs, want = [], [], batch.column(1).to_pylist()
-            for row, tokens in token_sets(batch.column(0), width):
-                if len(tokens) and digest(tokens) == want[row]:
-                    cids.append(want[row])
-                    blobs.append(tokens.tobytes())
+            for sets in wordhash.shingle_sets(batch.column(0), width):
+                cid = cids_of(sets, collided)
+                for k in np.flatnonzero(sets.n).tolist():
+                    if int(cid[k]) == want[sets.first + k]:
+                        cids.append(int(cid[k]))
+                        blobs.append(sets.tokens[sets.at[k] : sets.at[k + 1]].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(blobs, pa.binary())], ["cid", "tokens"])
 
     ids = small(wanted, 32)
-    texts = only(docs, id_col, text_col).withColumnsRenamed({id_col: "id", text_col: "text"})
-    return texts.join(ids, F.expr("id <=> wanted_id")).select("text", "cid").mapInArrow(run, "cid long, tokens binary")
+    texts = only(docs, id_col, text_col).toDF("id", "text")
+    rows = texts.join(ids, F.expr("id <=> wanted_id")).select("text", "cid").mapInArrow(run, "cid long, tokens binary")
+    return rows.dropDuplicates(["cid"])  # rows of one class that repeat an id
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -296,12 +334,12 @@ def _first(members: DataFrame, key: str) -> DataFrame:
     return ends.where("lo <> hi")
 
 
-def class_components(docs: DataFrame, known: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int, total: int) -> DataFrame:
+def class_components(docs: DataFrame, known: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int, total: int, collided: frozenset) -> DataFrame:
     """(cid, comp) of the classes with a link to another class."""
-    found = cut(memberships(shared_tokens(docs, text_col, width, num, den, total), known, num, den))
+    found = cut(memberships(shared_tokens(docs, text_col, width, num, den, total, collided), known, num, den))
     members = cut(found.join(_first(found, "cid").select("sig", F.col("lo").alias("leader")), "sig"))
     wanted = members.select("cid").distinct().join(known, "cid").select(F.col("rep").alias("wanted_id"), "cid")
-    sets = cut(set_table(docs, wanted, id_col, text_col, width))
+    sets = cut(set_table(docs, wanted, id_col, text_col, width, collided))
     star = cut(members.where("cid <> leader").select(F.least("leader", "cid").alias("a"), F.greatest("leader", "cid").alias("b")).distinct())
     links = cut(verified(star, sets, num, den))
     labels = members.select("cid").distinct().join(components(links).withColumnRenamed("node", "cid"), "cid", "left").select("cid", F.coalesce("comp", "cid").alias("comp"))
@@ -326,20 +364,46 @@ def _joined_in_blocks(placed: DataFrame, known: DataFrame, sets: DataFrame, num:
     pair meets once. A hub is dealt into blocks of about ``BLOCK`` texts, fewer where texts are long; each two blocks are compared as one
     product of token matrices, and only links that join components which the block has not joined yet are rows."""
     hubs = placed.groupBy("sig").agg(F.min(F.struct(F.xxhash64("cid").alias("h"), F.col("cid"))).alias("first")).select("sig", F.col("first.cid").alias("hub"))
-    inside = cut(placed.join(hubs, "sig").select("hub", "cid", "comp").distinct())
-    blocks = inside.join(known.select("cid", F.col("n").alias("size")), "cid").groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_TOKENS)).cast("int").alias("n"))
-    dealt = inside.join(blocks, "hub").withColumn("own", F.pmod(F.xxhash64("cid", F.lit(1)), F.col("n")).cast("int"))
-    dealt = dealt.select("hub", "cid", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("mate"))
-    dealt = dealt.select("hub", "cid", "comp", "own", F.least("own", "mate").alias("i"), F.greatest("own", "mate").alias("j")).join(sets, "cid")
+    # sizes of linked texts differ by one step at most
+    step = F.floor(F.log("size") / math.log(den / num) + 1e-9).cast("int")
+    inside = placed.join(hubs, "sig").select("hub", "cid", "comp").distinct().join(known.select("cid", F.col("n").alias("size")), "cid")
+    inside = cut(inside.withColumn("step", step))
+    blocks = inside.groupBy("hub", "step").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_TOKENS)).cast("int").alias("n"))
+    next_ones = blocks.select("hub", (F.col("step") - 1).alias("step"), F.col("n").alias("above")), blocks.select("hub", (F.col("step") + 1).alias("step"), F.col("n").alias("below"))
+    plan = cut(blocks.join(next_ones[0], ["hub", "step"], "left").join(next_ones[1], ["hub", "step"], "left").na.fill(0))
+    dealt = _with_plan(inside, plan).withColumn("own", F.pmod(F.xxhash64("cid", F.lit(1)), F.col("n")).cast("int"))
+    # a block meets those of its own step, itself included, and those of the step above; block names are (step, number)
+    at = lambda step, number: F.struct(step.alias("step"), number.alias("block"))
+    up_to = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    me = at(F.col("step"), F.col("own"))
+    meetings = F.concat(
+        F.transform(up_to(F.col("n")), lambda k: F.struct(F.least(me, at(F.col("step"), k)).alias("i"), F.greatest(me, at(F.col("step"), k)).alias("j"))),
+        F.transform(up_to(F.col("above")), lambda k: F.struct(me.alias("i"), at(F.col("step") + 1, k).alias("j"))),
+        F.transform(up_to(F.col("below")), lambda k: F.struct(at(F.col("step") - 1, k).alias("i"), me.alias("j"))),
+    )
+    dealt = dealt.select("hub", "cid", "comp", me.alias("me"), F.explode(meetings).alias("pair")).select("hub", "cid", "comp", (F.col("me") == F.col("pair.i")).alias("left"), (F.col("me") == F.col("pair.j")).alias("right"), F.col("pair.i.step").alias("s"), F.col("pair.i.block").alias("i"), F.col("pair.j.step").alias("t"), F.col("pair.j.block").alias("j")).join(sets, "cid")
 
     def run(table):
         cids, comps = table.column("cid").to_numpy(), table.column("comp").to_numpy()
-        own, i, j = table.column("own").to_numpy(), table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        left, right = (table.column(c).to_numpy(zero_copy_only=False) for c in ("left", "right"))
         parts = [np.frombuffer(x.as_buffer(), _U) for x in table.column("tokens")]
-        out = _block_links(cids, comps, parts, own == i, own == j, num, den)
+        out = _block_links(cids, comps, parts, left, right, num, den)
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
-    return dealt.groupBy("hub", "i", "j").applyInArrow(run, "a long, b long")
+    return dealt.groupBy("hub", "s", "i", "t", "j").applyInArrow(run, "a long, b long")
+
+
+def _with_plan(inside: DataFrame, plan: DataFrame) -> DataFrame:
+    """Each text with its hub's row of ``plan``. Most hubs are one block and need none; the other rows are broadcast if their counted size
+    allows it, else dealt ``SALT`` times, so that a hub of any size is joined in so many tasks."""
+    heavy = plan.where("n > 1 or above > 0 or below > 0")
+    keys = ["hub", "step"]
+    if heavy.count() * 32 <= BROADCAST_BYTES:
+        out = inside.join(F.broadcast(heavy), keys, "left")
+    else:
+        heavy = heavy.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        out = inside.withColumn("salt", F.pmod(F.xxhash64("cid", F.lit(2)), F.lit(SALT)).cast("int")).join(heavy, [*keys, "salt"], "left").drop("salt")
+    return out.na.fill({"n": 1, "above": 0, "below": 0})
 
 
 def _block_links(cids, comps, parts, left, right, num: int, den: int) -> list[tuple[int, int]]:
@@ -393,31 +457,58 @@ def _relabelled(rows: DataFrame, moved: DataFrame) -> DataFrame:
     return rows.join(moved, "comp", "left").withColumn("comp", F.coalesce("into", "comp")).drop("into")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
-    """One row for each row of ``docs``: id, ``n_shingles``, ``class_id`` (equal sets), ``component_id``,
-    the smallest id that links reach, and ``component_key``, which tells components apart even if ids repeat. Texts link if ``den`` * intersection >= ``num`` * union."""
-    rows = cut(classes(docs, id_col, text_col, width))
-    known = cut(rows.where("cid is not null").groupBy("cid").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("n_tier0").alias("n_tier0")))
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, num: int = NUMERATOR, den: int = DENOMINATOR, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each row of ``docs``: id, ``n_words``, ``n_shingles``, ``class_id`` (equal sets), ``component_id``,
+    the smallest id that links reach, ``component_key``, which tells components apart even if ids repeat, and the columns to ``carry`` along.
+    Texts link if ``den`` * intersection >= ``num`` * union."""
+    if clash := {"n_words", "n_shingles", "class_id", "component_id", "component_key", id_col} & set(carry):
+        raise ValueError(f"these names are taken: {sorted(clash)}")
+    rows, collided = _marked(classes(docs, id_col, text_col, width, carry))
+    known = cut(rows.where("cid is not null").groupBy("cid").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("n_tier0").alias("n_tier0"), F.count("*").alias("copies")))
     total = known.agg(F.sum("n")).first()[0] or 0
-    comps = class_components(docs, known, id_col, text_col, width, num, den, int(total))
+    comps = class_components(docs, known, id_col, text_col, width, num, den, int(total), collided)
     reps = known.join(comps, "cid").groupBy("comp").agg(F.min("rep").alias("least"))
-    reach = comps.join(reps, "comp").select("cid", "least", "comp")
-    out = rows.join(known.select("cid", "rep"), "cid", "left").join(reach, "cid", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("cid").alias("class_id"), F.coalesce("least", "rep", "id").alias("component_id"), F.coalesce("comp", "cid").alias("component_key"))
-
-
-def with_class(docs: DataFrame, text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """``docs`` with ``__class``, the ``class_id`` of each row."""
-    at, kinds = docs.columns.index(text_col), docs.schema
+    reach = known.select("cid", "rep", "copies").join(comps.join(reps, "comp").select("cid", "least", "comp"), "cid", "left")
+    out = _joined_by_class(rows, cut(reach.where("copies > 1 or comp is not null")))
+    columns = [F.col("id").alias(id_col), "n_words", F.col("n").alias("n_shingles"), F.col("cid").alias("class_id"), F.coalesce("least", "rep", "id").alias("component_id"), F.coalesce("comp", "cid").alias("component_key")]
+    return out.select(*columns, *[F.col(f"carry{k}").alias(c) for k, c in enumerate(carry)])
+
+
+def _marked(rows: DataFrame) -> tuple[DataFrame, frozenset]:
+    """Rows of ``classes`` with ``cid``, and the lower halves of digests that different sets share: none below some 10^9 sets, of
+    n sets n^2 / 2^65 to be expected, hence a small list at any size."""
+    rows = cut(rows)
+    ends = rows.where("low is not null").groupBy("low").agg(F.min("high").alias("a"), F.max("high").alias("b")).where("a <> b")
+    collided = frozenset(r.low for r in ends.select("low").collect())
+    cid = F.col("low")
+    if collided:
+        cid = F.when(F.col("low").isin(*collided), F.col("high")).otherwise(cid)
+    return rows.withColumn("cid", cid).drop("low", "high"), collided
+
+
+def _joined_by_class(rows: DataFrame, reach: DataFrame) -> DataFrame:
+    """``rows`` with what is known of their class. Classes of more than ``HOT`` rows, of which there are few, are always broadcast, and rows without a
+    class are not joined, so no task gathers one class of a third of all rows."""
+    if reach.count() * 40 <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(reach), "cid", "left")
+    hot = F.broadcast(reach.where(F.col("copies") > HOT))
+    rest = rows.where("cid is not null").join(hot.select("cid"), "cid", "left_anti").join(reach.where(F.col("copies") <= HOT), "cid", "left")
+    return rows.join(hot, "cid").unionByName(rest).unionByName(rows.where("cid is null"), allowMissingColumns=True)
+
+
+def with_class(docs: DataFrame, text_col: str = "text", width: int = WIDTH, collided: frozenset = frozenset(), name: str = "__class") -> DataFrame:
+    """``docs`` with the ``class_id`` of each row under ``name``."""
+    at = docs.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
-            cid = [None] * batch.num_rows
-            for row, tokens in token_sets(batch.column(at), width):
-                cid[row] = digest(tokens) if len(tokens) else None
-            yield batch.append_column("__class", pa.array(cid, pa.int64()))
+            cids, empty = np.zeros(batch.num_rows, np.int64), np.ones(batch.num_rows, bool)
+            for sets in wordhash.shingle_sets(batch.column(at), width):
+                part = slice(sets.first, sets.first + len(sets.n))
+                cids[part], empty[part] = cids_of(sets, collided), sets.n == 0
+            yield batch.append_column(name, pa.array(cids, mask=empty))
 
-    return docs.mapInArrow(run, type(kinds)([*kinds.fields]).add("__class", "long"))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
@@ -425,11 +516,13 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     smallest digest. Rows without a set all stay."""
     found = cut(jaccard_components(docs, id_col, text_col, width, num, den).withColumnRenamed(id_col, "id"))
     linked = found.where("class_id is not null")
-    out = linked.where("not (id <=> component_id)").select(F.col("id").alias("drop_id")).distinct()
+    gone, mark, stay_id, stay_class = unused(docs, "gone_id", "class_mark", "stay_id", "stay_class")
     if linked.groupBy("id").count().where("count > 1").isEmpty():
-        return docs.join(small(out, 16), F.col(f"`{id_col}`").eqNullSafe(F.col("drop_id")), "left_anti")
+        out = linked.where("not (id <=> component_id)").select(F.col("id").alias(gone)).distinct()
+        return docs.join(small(out, 16), F.col(f"`{id_col}`").eqNullSafe(F.col(gone)), "left_anti")
     # repeated ids: rows are told apart by their class
-    stay = linked.where("id <=> component_id").groupBy("component_key").agg(F.min(F.struct("class_id", "id")).alias("one")).select(F.col("one.class_id").alias("stay_class"), F.col("one.id").alias("stay_id"))
-    marked = with_class(docs, text_col, width)
-    with_set = marked.where("__class is not null").join(stay, F.col(f"`{id_col}`").eqNullSafe(F.col("stay_id")) & (F.col("__class") == F.col("stay_class")), "left_semi")
-    return with_set.dropDuplicates([id_col, "__class"]).unionByName(marked.where("__class is null")).drop("__class")
+    _, collided = _marked(classes(docs, id_col, text_col, width))
+    stay = linked.where("id <=> component_id").groupBy("component_key").agg(F.min(F.struct("class_id", "id")).alias("one")).select(F.col("one.class_id").alias(stay_class), F.col("one.id").alias(stay_id))
+    marked = with_class(docs, text_col, width, collided, mark)
+    with_set = marked.where(F.col(mark).isNotNull()).join(stay, F.col(f"`{id_col}`").eqNullSafe(F.col(stay_id)) & (F.col(mark) == F.col(stay_class)), "left_semi")
+    return with_set.dropDuplicates([id_col, mark]).unionByName(marked.where(F.col(mark).isNull())).drop(mark)

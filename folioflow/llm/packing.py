@@ -6,40 +6,44 @@ nor its duplicate cluster: the search starts at the smallest sufficient residual
 compatible bin is found, else a bin is opened. Each bin carries two bitmaps, of sources and of clusters; a packing group numbers its own sources and
 clusters, so no two values share a bit, and a bitmap is as wide as the group has values.
 
-A duplicate cluster is the component of near copies that a text is in where the components of ``ngram_jaccard`` are given (op5 gives them), else
-the texts that differ in case or white space only (enough after the near copies have gone, as in the pipeline).
+A duplicate cluster is any column: op5 gives the component of near copies that ``ngram_jaccard`` found, and the words it counted as units; without
+a column, texts that differ in case or white space only are a cluster (enough after the near copies have gone, as in the pipeline). Units may
+be any counted column too, such as the number of token ids of ``token_files``.
 
-Pieces are dealt to packing groups of about ``GROUP_ROWS`` rows by a hash of id, text length and a digest, so a source or cluster
-of a third of all rows spreads over all groups, and the groups' number follows the input. Only ids and numbers are shuffled, never texts.
+Pieces are dealt to packing groups of about ``GROUP_ROWS`` rows by a hash of id, length, source and cluster, so a source or cluster
+of a third of all rows spreads over all groups, and the groups' number follows the input. Equal rows are counted before the exchange and dealt in lots of
+``LOT``. Only ids and numbers are shuffled, never texts.
 
-Defined results: null and wordless texts have no piece and no row. Equal lengths are taken in the order of ids. Repeated rows are
-pieces of their own and, with one cluster, never share a bin. A null source is a source of its own. Extra columns are not read.
+Defined results: null and wordless texts have no piece and no row. Equal lengths are taken in the order of ids, numbers by value and all other
+kinds as strings. Repeated rows are pieces of their own and, with one cluster, never share a bin. A null source is a source of its own, a null
+cluster a cluster of its row alone. Extra columns are not read.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from . import ngram_jaccard
-from .common import ascii_lower, cut, only
+from . import wordhash
 
-CAPACITY, GROUP_ROWS = 2048, 4096
+CAPACITY, GROUP_ROWS, LOT = 2048, 4096, 256
 
 
-def pack(pieces: list[tuple[int, int, int]], capacity: int) -> list[tuple[int, int]]:
-    """Bin and offset of each piece (length, source hash, cluster hash), lengths in falling order."""
+def pack(pieces: list[tuple], capacity: int) -> list[tuple[int, int]]:
+    """Bin and offset of each piece (length, source, cluster), lengths in falling order."""
     #: residuals in order, and for each the bins that have it in the order they were opened, by their source bitmap
     order: list[int] = []
     bins: dict[int, dict[int, list[int]]] = {}
     sources: list[int] = []
     clusters: list[int] = []
     left: list[int] = []
-    source_bit: dict[int, int] = {}
-    cluster_bit: dict[int, int] = {}
+    source_bit: dict = {}
+    cluster_bit: dict = {}
     out = []
     for length, source, cluster in pieces:
         s, c = 1 << source_bit.setdefault(source, len(source_bit)), 1 << cluster_bit.setdefault(cluster, len(cluster_bit))
@@ -79,60 +83,65 @@ def pack(pieces: list[tuple[int, int, int]], capacity: int) -> list[tuple[int, i
     return out
 
 
-def units_of(text: Column) -> Column:
-    """Number of words."""
-    squeezed = F.btrim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " "))
-    return F.when(squeezed == "", 0).otherwise(F.length(squeezed) - F.length(F.replace(squeezed, F.lit(" "), F.lit(""))) + 1).cast("long")
+def counted(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """(id, n, source, cluster): words and a hash of the words, from one pass over the texts."""
 
+    def run(batches):
+        for batch in batches:
+            n, digest = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.uint64)
+            for first, _, _, _, hashes, at in wordhash.grouped(batch.column(1), wordhash.SPACED):
+                part = slice(first, first + len(at) - 1)
+                n[part] = np.diff(at)
+                # order matters: each word's hash is mixed with its place in the text
+                place = (np.arange(len(hashes)) - np.repeat(at[:-1], np.diff(at))).astype(np.uint64)
+                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(wordhash.mix(hashes + wordhash.mix(place)), dtype=np.uint64)])
+                digest[part] = total[at[1:]] - total[at[:-1]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), batch.column(2), pa.array(digest.view(np.int64))], ["id", "n", "source", "cluster"])
 
-def cluster_of(text: Column) -> Column:
-    """Texts that differ in case or white space only are one cluster."""
-    return F.xxhash64(ascii_lower(F.btrim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " "))))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{source_col}`").cast("string").alias("source"))
+    return rows.mapInArrow(run, StructType([rows.schema["id"], StructField("n", LongType()), rows.schema["source"], StructField("cluster", LongType())]))
 
 
-def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster: Column | None = None, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS, components: DataFrame | None = None) -> DataFrame:
+def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", units: Column | None = None, cluster: Column | None = None, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> DataFrame:
     """One row for each piece: id, ``piece``, ``first`` (unit within the text), ``n_units``, ``bin_id``, ``bin_offset``, ``bin_fill``.
-    ``components`` are the ``jaccard_components`` of ``docs``; they take the place of ``cluster``."""
-    text = F.col(f"`{text_col}`").cast("string")
-    pieces = [F.col(f"`{id_col}`").alias("id"), units_of(text).alias("n"), F.xxhash64(F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("\0"))).alias("source")]
-    if components is None:
-        rows = docs.select(*pieces, (cluster_of(text) if cluster is None else F.xxhash64(cluster)).alias("cluster"))
+    With ``units`` (and then ``cluster``) given, ``text_col`` is not read."""
+    if units is None:
+        if cluster is not None:
+            raise ValueError("clusters are given together with units")
+        rows = counted(docs, id_col, text_col, source_col)
     else:
-        found = cut(components.where("class_id is not null").select(F.col(f"`{id_col}`").alias("of_id"), F.col("class_id").alias("of_class"), "component_key"))
-        same = F.col("id").eqNullSafe(F.col("of_id"))
-        if found.groupBy("of_id").count().where("count > 1").isEmpty():
-            rows = docs.select(*pieces).join(found, same, "left")
-        else:  # repeated ids: rows are told apart by their class
-            marked = ngram_jaccard.with_class(only(docs, id_col, text_col, source_col), text_col)
-            rows = marked.select(*pieces, "__class").join(found.distinct(), same & (F.col("__class") == F.col("of_class")), "left")
-        rows = rows.select("id", "n", "source", F.coalesce("component_key", F.xxhash64("id", "n")).alias("cluster"))
-    n_rows = docs.count()
-    groups = max(1, -(-n_rows // group_rows))
-    rows = rows.where("n > 0").withColumn("pack_group", F.pmod(F.xxhash64(F.col("id").cast("string"), "n", "cluster"), F.lit(groups)))
-    kind = rows.schema["id"].dataType.simpleString()
-    if kind not in ("bigint", "int", "string"):
-        raise TypeError(f"ids of type {kind} are not packed")
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        group = int(frame["pack_group"].iloc[0])
-        frame = frame.sort_values(["id", "n", "cluster", "source"], kind="stable", na_position="first")
-        out, rest = [], []
-        n_bins = 0
-        for doc, n, source, cluster in zip(frame["id"].tolist(), frame["n"].tolist(), frame["source"].tolist(), frame["cluster"].tolist(), strict=True):
-            whole = n // capacity
-            for k in range(whole):
-                out.append((doc, k, k * capacity, capacity, n_bins, 0))
-                n_bins += 1
-            if n % capacity:
-                rest.append((doc, whole, n % capacity, source, cluster))
-        rest.sort(key=lambda x: -x[2])
-        for (doc, piece, n, _, _), (b, at) in zip(rest, pack([x[2:] for x in rest], capacity), strict=True):
-            out.append((doc, piece, piece * capacity, n, n_bins + b, at))
-        result = pd.DataFrame(out, columns=["id", "piece", "first", "n_units", "bin", "bin_offset"])
-        result["id"] = result["id"].astype("object").where(result["id"].notna(), None) if kind == "string" else result["id"].astype("Int64")
-        result["bin_fill"] = result.groupby("bin")["n_units"].transform("sum")
-        result["bin_id"] = (group << 24) + result["bin"]
-        return result[["id", "piece", "first", "n_units", "bin_id", "bin_offset", "bin_fill"]]
-
-    out = rows.groupBy("pack_group").applyInPandas(run, f"id {kind}, piece long, first long, n_units long, bin_id long, bin_offset long, bin_fill long")
+        rows = docs.select(F.col(f"`{id_col}`").alias("id"), units.cast("long").alias("n"), F.col(f"`{source_col}`").cast("string").alias("source"), (F.lit(None) if cluster is None else cluster).cast("long").alias("cluster"))
+    rows = rows.where("n > 0").groupBy("id", "n", "source", "cluster").agg(F.count("*").alias("copies"))
+    lots = F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {LOT}"))
+    rows = rows.withColumn("lot", F.explode(lots)).withColumn("copies", F.least(F.lit(LOT), F.col("copies") - F.col("lot") * LOT))
+    groups = max(1, -(-docs.count() // group_rows))
+    key = F.pmod(F.xxhash64(F.col("id").cast("string"), "n", "source", "cluster", "lot"), F.lit(groups))
+    rows = rows.withColumn("pack_group", key).select("pack_group", "id", "n", "source", "cluster", "copies")
+    kind = rows.schema["id"]
+    sizes = [StructField(c, LongType()) for c in ("piece", "first", "n_units", "bin_id", "bin_offset", "bin_fill")]
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, columns = table.column("id"), [table.column(c).to_pylist() for c in ("n", "source", "cluster", "copies")]
+        keys = ids.to_pylist()
+        if not all(k is None or isinstance(k, int | float) for k in keys):
+            keys = [None if k is None else str(k) for k in keys]
+        order = sorted(range(len(keys)), key=lambda i: (keys[i] is not None, 0 if keys[i] is None else keys[i], columns[0][i], columns[2][i] is not None, columns[2][i] or 0, columns[1][i] or ""))
+        whole: list[tuple[int, int, int, int, int]] = []
+        rest: list[tuple[int, int, tuple]] = []
+        for i in order:
+            n, source, cluster, copies = (c[i] for c in columns)
+            for copy in range(copies):
+                for k in range(n // capacity):
+                    whole.append((i, k, capacity, len(whole), 0))
+                if n % capacity:
+                    own = ("row", i, copy) if cluster is None else cluster
+                    rest.append((i, n // capacity, (n % capacity, source, own)))
+        rest.sort(key=lambda x: -x[2][0])
+        placed = [(i, piece, p[0], len(whole) + b, at) for (i, piece, p), (b, at) in zip(rest, pack([p for _, _, p in rest], capacity), strict=True)]
+        row, piece, n, bin_, at = (np.array(x, np.int64) for x in zip(*(whole + placed), strict=True))
+        fill = np.bincount(bin_, n).astype(np.int64)[bin_]
+        values = [piece, piece * capacity, n, (table.column("pack_group")[0].as_py() << 24) + bin_, at, fill]
+        return pa.Table.from_arrays([ids.take(pa.array(row)), *map(pa.array, values)], ["id", *[f.name for f in sizes]])
+
+    out = rows.groupBy("pack_group").applyInArrow(run, StructType([kind, *sizes]))
     return out.withColumnRenamed("id", id_col)

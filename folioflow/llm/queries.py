@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontaminate, licenses, line_crf, ngram_jaccard, packing, quality_rules, sharding, token_files, url_filter
-from .common import read, shared_folder
+from .common import cut, read, shared_folder
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
 
@@ -40,8 +40,8 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    return packing.packed(docs, components=ngram_jaccard.jaccard_components(docs))
+    found = cut(ngram_jaccard.jaccard_components(read(spark, sf_dir, "documents"), carry=("source",)))
+    return packing.packed(found, units=F.col("n_words"), cluster=F.col("component_key"))
 
 
 def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ taken in groups of about ``GROUP`` bytes, so memory follows the longest text, no
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,7 +85,7 @@ def grouped(column: pa.Array, table: np.ndarray) -> Iterator[tuple[int, np.ndarr
         i = j
 
 
-#: Of each place in a gram, added to the word's hash before mixing; from a rule: odd multiples of the base.
+#: Of each place in a gram, the factor of the word's hash there; from a rule: odd multiples of the base.
 _PLACE = [_U(_BASE * (2 * j + 1) & 0xFFFFFFFFFFFFFFFF) for j in range(64)]
 
 
@@ -95,5 +96,63 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
         return np.zeros(0, _U)
     total = np.full(n, _U(k), _U)
     for j in range(k):
-        total += mix(hashes[j : j + n] + _PLACE[j % len(_PLACE)])
+        total += hashes[j : j + n] * _PLACE[j % len(_PLACE)]
     return mix(total)
+
+
+class Sets:
+    """The shingle sets of a group of texts: of text ``first + k`` the sorted distinct tokens ``tokens[at[k]:at[k + 1]]``,
+    ``n_words[k]`` words, and a set digest of 128 bits in ``low[k]`` and ``high[k]``."""
+
+    def __init__(self, first: int, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, words_at: np.ndarray, width: int):
+        n_texts, n = len(words_at) - 1, len(hashes)
+        self.first, self.n_words = first, np.diff(words_at)
+        valid = np.ones(n, bool)
+        for j in range(1, width):
+            last = words_at[1:] - j
+            valid[last[last >= words_at[:-1]]] = False
+        all_grams = np.zeros(n, _U)
+        whole = grams(hashes, width)
+        all_grams[: len(whole)] = whole
+        for k in range(1, min(width, n + 1)):  # fewer words than a shingle: the whole sequence
+            p = words_at[:-1][self.n_words == k]
+            if len(p):
+                valid[p] = True
+                all_grams[p] = grams(hashes[p[:, None] + np.arange(k)].reshape(-1), k)[::k]
+        before = np.concatenate([[0], np.cumsum(valid)])
+        tokens, cuts = all_grams[valid], before[words_at]
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if b - a > 1:
+                tokens[a:b].sort()
+        new = np.ones(len(tokens), bool)
+        new[1:] = tokens[1:] != tokens[:-1]
+        new[cuts[:-1][cuts[:-1] < len(tokens)]] = True
+        self.tokens = tokens[new]
+        self.at = np.concatenate([[0], np.cumsum(new)])[cuts]
+        self.n = np.diff(self.at)
+        self.low = self._sums(mix(self.tokens ^ _PLACE[7]))
+        self.high = self._sums(mix(self.tokens + _PLACE[9]))
+        if (single := np.flatnonzero(self.n == 1)).size:
+            # one token holds 64 bits; the digest of its words holds 128
+            raw = low.tobytes()
+            for k in single.tolist():
+                a = int(words_at[k])
+                b = min(int(words_at[k + 1]), a + width)
+                said = b" ".join([raw[s:e] for s, e in zip(starts[a:b].tolist(), ends[a:b].tolist(), strict=True)])
+                d = hashlib.blake2b(said, digest_size=16).digest()
+                self.low[k], self.high[k] = int.from_bytes(d[:8], "little"), int.from_bytes(d[8:], "little")
+
+    def _sums(self, x: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(x) + 1, _U)
+        np.cumsum(x, out=total[1:])
+        return total[self.at[1:]] - total[self.at[:-1]]
+
+    def counts(self, mask: np.ndarray) -> np.ndarray:
+        """How many tokens of each text the mask has."""
+        return np.diff(np.concatenate([[0], np.cumsum(mask)])[self.at])
+
+
+def shingle_sets(column: pa.Array, width: int) -> Iterator[Sets]:
+    """The sets of a column's texts, a group at a time; words are what white space separates."""
+    for first, low, starts, ends, hashes, at in grouped(column, SPACED):
+        yield Sets(first, low, starts, ends, hashes, at, width)
