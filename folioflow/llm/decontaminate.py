@@ -59,7 +59,7 @@ class Index:
         self.length: list[int] = []
         entries: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         texts = pa.array([t for _, t in items], pa.string())
-        for first, low, starts, ends, hashes, at in wordhash.grouped(texts, wordhash.ALNUM):
+        for first, low, starts, ends, hashes, at in wordhash.grouped(texts, wordhash.alnum):
             raw = low.tobytes()
             for k in range(len(at) - 1):
                 a, b = int(at[k]), int(at[k + 1])
@@ -82,7 +82,7 @@ class Index:
 
     def hits(self, column: pa.Array):
         """For each text: row, words, and for texts with hits the runs (first word, end) and the items."""
-        for first, low, starts, ends, hashes, at in wordhash.grouped(column, wordhash.ALNUM):
+        for first, low, starts, ends, hashes, at in wordhash.grouped(column, wordhash.alnum):
             counts = np.diff(at)
             texts = np.repeat(np.arange(len(counts)), counts)
             runs: dict[int, list[tuple[int, int]]] = defaultdict(list)

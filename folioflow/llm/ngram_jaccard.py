@@ -364,14 +364,16 @@ def _joined_in_blocks(placed: DataFrame, known: DataFrame, sets: DataFrame, num:
     pair meets once. A hub is dealt into blocks of about ``BLOCK`` texts, fewer where texts are long; each two blocks are compared as one
     product of token matrices, and only links that join components which the block has not joined yet are rows."""
     hubs = placed.groupBy("sig").agg(F.min(F.struct(F.xxhash64("cid").alias("h"), F.col("cid"))).alias("first")).select("sig", F.col("first.cid").alias("hub"))
-    # sizes of linked texts differ by one step at most
-    step = F.floor(F.log("size") / math.log(den / num) + 1e-9).cast("int")
-    inside = placed.join(hubs, "sig").select("hub", "cid", "comp").distinct().join(known.select("cid", F.col("n").alias("size")), "cid")
-    inside = cut(inside.withColumn("step", step))
-    blocks = inside.groupBy("hub", "step").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_TOKENS)).cast("int").alias("n"))
-    next_ones = blocks.select("hub", (F.col("step") - 1).alias("step"), F.col("n").alias("above")), blocks.select("hub", (F.col("step") + 1).alias("step"), F.col("n").alias("below"))
-    plan = cut(blocks.join(next_ones[0], ["hub", "step"], "left").join(next_ones[1], ["hub", "step"], "left").na.fill(0))
-    dealt = _with_plan(inside, plan).withColumn("own", F.pmod(F.xxhash64("cid", F.lit(1)), F.col("n")).cast("int"))
+    inside = cut(placed.join(hubs, "sig").select("hub", "cid", "comp").distinct().join(known.select("cid", F.col("n").alias("size")), "cid"))
+    blocks_of = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_TOKENS)).cast("int")
+    # most hubs are one block; in the others, sizes of linked texts differ by one step at most
+    large = inside.groupBy("hub").agg(blocks_of.alias("large")).where("large > 1")
+    step = F.when(F.col("large") > 1, F.floor(F.log("size") / math.log(den / num) + 1e-9)).otherwise(0).cast("int")
+    inside = _with_hub(inside, cut(large), ["hub"], {"large": 1}).withColumn("step", step)
+    blocks = inside.where("large > 1").groupBy("hub", "step").agg(blocks_of.alias("n"))
+    above, below = blocks.select("hub", (F.col("step") - 1).alias("step"), F.col("n").alias("above")), blocks.select("hub", (F.col("step") + 1).alias("step"), F.col("n").alias("below"))
+    plan = cut(blocks.join(above, ["hub", "step"], "left").join(below, ["hub", "step"], "left").na.fill(0))
+    dealt = _with_hub(inside, plan, ["hub", "step"], {"n": 1, "above": 0, "below": 0}).withColumn("own", F.pmod(F.xxhash64("cid", F.lit(1)), F.col("n")).cast("int"))
     # a block meets those of its own step, itself included, and those of the step above; block names are (step, number)
     at = lambda step, number: F.struct(step.alias("step"), number.alias("block"))
     up_to = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
@@ -393,17 +395,15 @@ def _joined_in_blocks(placed: DataFrame, known: DataFrame, sets: DataFrame, num:
     return dealt.groupBy("hub", "s", "i", "t", "j").applyInArrow(run, "a long, b long")
 
 
-def _with_plan(inside: DataFrame, plan: DataFrame) -> DataFrame:
-    """Each text with its hub's row of ``plan``. Most hubs are one block and need none; the other rows are broadcast if their counted size
+def _with_hub(inside: DataFrame, facts: DataFrame, keys: list[str], default: dict[str, int]) -> DataFrame:
+    """Each text with what ``facts`` says of its hub, or the default. Facts are broadcast if their counted size
     allows it, else dealt ``SALT`` times, so that a hub of any size is joined in so many tasks."""
-    heavy = plan.where("n > 1 or above > 0 or below > 0")
-    keys = ["hub", "step"]
-    if heavy.count() * 32 <= BROADCAST_BYTES:
-        out = inside.join(F.broadcast(heavy), keys, "left")
+    if facts.count() * 32 <= BROADCAST_BYTES:
+        out = inside.join(F.broadcast(facts), keys, "left")
     else:
-        heavy = heavy.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-        out = inside.withColumn("salt", F.pmod(F.xxhash64("cid", F.lit(2)), F.lit(SALT)).cast("int")).join(heavy, [*keys, "salt"], "left").drop("salt")
-    return out.na.fill({"n": 1, "above": 0, "below": 0})
+        facts = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        out = inside.withColumn("salt", F.pmod(F.xxhash64("cid", F.lit(2)), F.lit(SALT)).cast("int")).join(facts, [*keys, "salt"], "left").drop("salt")
+    return out.na.fill(default)
 
 
 def _block_links(cids, comps, parts, left, right, num: int, den: int) -> list[tuple[int, int]]:

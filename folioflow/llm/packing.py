@@ -89,7 +89,7 @@ def counted(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Dat
     def run(batches):
         for batch in batches:
             n, digest = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.uint64)
-            for first, _, _, _, hashes, at in wordhash.grouped(batch.column(1), wordhash.SPACED):
+            for first, _, _, _, hashes, at in wordhash.grouped(batch.column(1), wordhash.spaced):
                 part = slice(first, first + len(at) - 1)
                 n[part] = np.diff(at)
                 # order matters: each word's hash is mixed with its place in the text

@@ -1,31 +1,36 @@
 """Words of an Arrow string column as arrays of 64-bit hashes, without a Python object for each word.
 
-A word's hash is a polynomial over its bytes, from differences of one running sum, then mixed. Texts are
+A word's hash mixes its length and its bytes, eight at a time. Texts are
 taken in groups of about ``GROUP`` bytes, so memory follows the longest text, not the batch.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-GROUP = 1 << 20
+GROUP = 1 << 18
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 
-#: Bytes of words. SPACED: all but white space (0x20, 0x09-0x0D). ALNUM: 0-9, a-z and whatever is not ASCII.
-SPACED = np.ones(256, dtype=bool)
-SPACED[[0x20, *range(0x09, 0x0E)]] = False
-ALNUM = np.zeros(256, dtype=bool)
-ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
-_powers: list[np.ndarray] = [np.ones(1, _U), np.ones(1, _U)]
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """A-Z to a-z; differences of bytes wrap, so each range is one comparison."""
+    return data | (((data - np.uint8(65)) < 26).view(np.uint8) << np.uint8(5))
+
+
+def spaced(low: np.ndarray) -> np.ndarray:
+    """Bytes of words: all but white space (0x20, 0x09-0x0D)."""
+    return ~((low == 0x20) | ((low - np.uint8(9)) < 5))
+
+
+def alnum(low: np.ndarray) -> np.ndarray:
+    """Bytes of words: 0-9, a-z and whatever is not ASCII."""
+    return ((low - np.uint8(0x30)) < 10) | ((low - np.uint8(0x61)) < 26) | (low >= 0x80)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,14 +40,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _grown(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        n = max(n, GROUP * 2)
-        for k, base in enumerate((_BASE, _INVERSE)):
-            x = np.full(n, base, _U)
-            x[0] = 1
-            _powers[k] = np.cumprod(x, dtype=_U)
-    return _powers
+#: By the number of a chunk's bytes: the bits that belong to it.
+_BITS = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
+
+
+def word_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each word from its length and its bytes, eight at a time."""
+    padded = np.zeros(len(low) + 8, np.uint8)
+    padded[: len(low)] = low
+    eight = np.ndarray(len(low) + 1, "<u8", padded.data, strides=(1,))
+    length = ends - starts
+    out = mix((eight[starts] & _BITS[np.minimum(length, 8)]) ^ (length.astype(_U) * _U(_BASE)))
+    more, at = np.flatnonzero(length > 8), 8
+    while len(more):
+        p, left = starts[more] + at, length[more] - at
+        out[more] = mix(out[more] * _U(_BASE) + (eight[p] & _BITS[np.minimum(left, 8)]))
+        more, at = more[left > 8], at + 8
+    return out
 
 
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -55,7 +69,7 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), offsets
 
 
-def grouped(column: pa.Array, table: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def grouped(column: pa.Array, word_bytes: Callable[[np.ndarray], np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For each group of texts: the first text's row, its lower-cased bytes, the words' starts, ends and hashes,
     and the index of each text's first word (one more entry than texts)."""
     data, offsets = bytes_of(column)
@@ -64,9 +78,9 @@ def grouped(column: pa.Array, table: np.ndarray) -> Iterator[tuple[int, np.ndarr
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + GROUP, "right")) - 1)
         j = min(j, n)
         at = offsets[i : j + 1] - offsets[i]
-        low = _LOWER[data[offsets[i] : offsets[j]]]
+        low = lowered(data[offsets[i] : offsets[j]])
         is_word = np.zeros(len(low) + 1, bool)
-        is_word[:-1] = table[low]
+        is_word[:-1] = word_bytes(low)
         before = np.zeros(len(low) + 1, bool)
         before[1:] = is_word[:-1]
         edges = at[:-1][at[:-1] < len(low)]
@@ -77,10 +91,7 @@ def grouped(column: pa.Array, table: np.ndarray) -> Iterator[tuple[int, np.ndarr
         inner = at[1:][(at[1:] > 0) & (at[1:] <= len(low))]
         after[inner - 1] = False
         ends = np.flatnonzero(is_word & ~after) + 1
-        up, down = _grown(len(low) + 1)
-        total = np.zeros(len(low) + 1, _U)
-        np.cumsum((low.astype(_U) + _U(1)) * up[: len(low)], out=total[1:])
-        hashes = mix((total[ends] - total[starts]) * down[starts])
+        hashes = word_hashes(low, starts, ends)
         yield i, low, starts, ends, hashes, np.searchsorted(starts, at)
         i = j
 
@@ -100,6 +111,13 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(total)
 
 
+def running(mask: np.ndarray) -> np.ndarray:
+    """How many are true before each place, and in all."""
+    out = np.zeros(len(mask) + 1, np.int32)
+    np.cumsum(mask.view(np.int8), out=out[1:])
+    return out
+
+
 class Sets:
     """The shingle sets of a group of texts: of text ``first + k`` the sorted distinct tokens ``tokens[at[k]:at[k + 1]]``,
     ``n_words[k]`` words, and a set digest of 128 bits in ``low[k]`` and ``high[k]``."""
@@ -119,7 +137,7 @@ class Sets:
             if len(p):
                 valid[p] = True
                 all_grams[p] = grams(hashes[p[:, None] + np.arange(k)].reshape(-1), k)[::k]
-        before = np.concatenate([[0], np.cumsum(valid)])
+        before = running(valid)
         tokens, cuts = all_grams[valid], before[words_at]
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             if b - a > 1:
@@ -128,7 +146,7 @@ class Sets:
         new[1:] = tokens[1:] != tokens[:-1]
         new[cuts[:-1][cuts[:-1] < len(tokens)]] = True
         self.tokens = tokens[new]
-        self.at = np.concatenate([[0], np.cumsum(new)])[cuts]
+        self.at = running(new)[cuts]
         self.n = np.diff(self.at)
         self.low = self._sums(mix(self.tokens ^ _PLACE[7]))
         self.high = self._sums(mix(self.tokens + _PLACE[9]))
@@ -149,10 +167,10 @@ class Sets:
 
     def counts(self, mask: np.ndarray) -> np.ndarray:
         """How many tokens of each text the mask has."""
-        return np.diff(np.concatenate([[0], np.cumsum(mask)])[self.at])
+        return np.diff(running(mask)[self.at])
 
 
 def shingle_sets(column: pa.Array, width: int) -> Iterator[Sets]:
     """The sets of a column's texts, a group at a time; words are what white space separates."""
-    for first, low, starts, ends, hashes, at in grouped(column, SPACED):
+    for first, low, starts, ends, hashes, at in grouped(column, spaced):
         yield Sets(first, low, starts, ends, hashes, at, width)
