@@ -4,10 +4,12 @@ A dataset is a folder in which each row is a segment: ``part`` and ``seq`` (its
 (documents in it and their tokens) and ``blocks`` (see ``token_coder``: reset and checksummed each by itself, so a reader may
 start at any segment). Spark commits the files, so an executor's loss leaves no half-written part.
 
-A range partition by document id keeps the order; parts and segments are of bounded size, only their sums are added up across parts.
+``ordered`` range-partitions the texts by document id before anything is computed from them, so bounds are drawn from ids alone, each text is tokenised
+once, and ids are coded where they arise. Parts and segments are of bounded size, only their sums are added up across parts.
 
-Defined results: a null or empty text has only the end id. Documents with equal ids are in the order of their token ids;
-null ids come first. Strings of special tokens within a text are ordinary text. Extra columns are not read. A dataset
+Defined results: a null or empty text has only the end id. Documents with equal ids are in the order of a hash of their texts, so that an id of a third of all rows
+spreads over parts; equal rows are in any order, which nothing shows. Null ids come first. Ids may be of any type that Spark orders. A special token's string
+within a text is what the library makes of it, or ordinary text with ``special_as_text``. Extra columns are not read. A dataset
 without documents is a folder without rows.
 """
 
@@ -21,6 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from .common import only, small
 from .token_coder import BLOCK, LANES, decode_blocks, encode_blocks
@@ -28,36 +31,42 @@ from .token_coder import BLOCK, LANES, decode_blocks, encode_blocks
 SEGMENT = BLOCK * LANES  #: ids of a segment, or one document more
 
 
-def token_ids(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
-    """(id, ids): the whole text's ids and ``end_id`` as little-endian 32-bit integers; ``tokenizer`` is a path that executors can read."""
-    kind = docs.select(F.col(f"`{id_col}`")).schema[0].dataType.simpleString()
+def ordered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text) in ascending order of ids, over parts of about equal numbers of documents."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = only(docs, id_col, text_col).toDF("id", "text")
+    keys = [F.col("id").asc_nulls_first(), F.xxhash64("text"), F.spark_partition_id()]
+    return rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys[:2])
+
+
+def token_ids(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, special_as_text: bool = False) -> DataFrame:
+    """(id, ids): the whole text's ids and ``end_id`` as little-endian 32-bit integers, row by row; ``tokenizer`` is a path that executors can read."""
 
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         model = Tokenizer.from_file(tokenizer)
-        model.encode_special_tokens = True
+        model.encode_special_tokens = special_as_text
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 texts = [t or "" for t in batch.column(1)[k : k + 256].to_pylist()]
                 coded = model.encode_batch_fast(texts, add_special_tokens=False)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[k : k + 256], pa.array([np.array([*e.ids, end_id], "<u4").tobytes() for e in coded], pa.binary())], ["id", "ids"])
 
-    return only(docs, id_col, text_col).mapInArrow(run, f"id {kind}, ids binary")
+    rows = only(docs, id_col, text_col).toDF("id", "text")
+    return rows.mapInArrow(run, StructType([rows.schema["id"], StructField("ids", BinaryType())]))
 
 
-def write(ids: DataFrame, path: str) -> None:
-    """Write (id, ids) as a dataset."""
-    kind = ids.schema["id"].dataType.simpleString()
-    n = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    arrow_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+def write(ids: DataFrame, path: str, in_order: bool = False) -> None:
+    """Write (id, ids) as a dataset; ``in_order`` says that the rows come from ``ordered``."""
+    kind = ids.schema["id"].dataType
 
     def run(batches):
         part, seq = TaskContext.get().partitionId(), 0
         keys, counts, held, size = [], [], [], 0
 
-        def segment():
+        def segment(arrow_kind):
             stream = np.concatenate(held)
             blocks = encode_blocks([stream[k : k + BLOCK] for k in range(0, len(stream), BLOCK)])
             return pa.RecordBatch.from_arrays(
@@ -65,19 +74,23 @@ def write(ids: DataFrame, path: str) -> None:
             )
 
         for batch in batches:
+            arrow_kind = batch.schema.field(0).type
             for key, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 held.append(np.frombuffer(raw.as_buffer(), "<u4"))
                 keys.append(key)
                 counts.append(len(held[-1]))
                 size += counts[-1]
                 if size >= SEGMENT:
-                    yield segment()
+                    yield segment(arrow_kind)
                     keys, counts, held, size, seq = [], [], [], 0, seq + 1
         if keys:
-            yield segment()
+            yield segment(arrow_kind)
 
-    ordered = ids.repartitionByRange(n, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "ids")
-    ordered.mapInArrow(run, f"part int, seq long, ids array<{kind}>, counts array<long>, blocks array<binary>").write.parquet(path)
+    if not in_order:
+        n = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ids = ids.repartitionByRange(n, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "ids")
+    schema = StructType([StructField("part", IntegerType()), StructField("seq", LongType()), StructField("ids", ArrayType(kind)), StructField("counts", ArrayType(LongType())), StructField("blocks", ArrayType(BinaryType()))])
+    ids.mapInArrow(run, schema).write.parquet(path)
 
 
 def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
@@ -92,7 +105,7 @@ def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     within = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     base = F.create_map(*[F.lit(x) for kv in bases.items() for x in kv]) if bases else F.lit(None).cast("map<int,bigint>")
     starts = sizes.select("part", "seq", (F.coalesce(F.sum("n").over(within), F.lit(0)) + F.element_at(base, F.col("part"))).cast("long").alias("begin"))
-    kind = files.schema["ids"].dataType.elementType.simpleString()
+    kind = files.schema["ids"].dataType.elementType
 
     def run(batches):
         for batch in batches:
@@ -106,4 +119,5 @@ def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(raw, pa.binary())] * with_ids, ["id", "start", "n_tokens", "ids_crc32", "token_ids"][: 4 + with_ids])
 
     rows = files.join(small(starts, 32), ["part", "seq"]).select("ids", "counts", "blocks", "begin")
-    return rows.mapInArrow(run, f"id {kind}, start long, n_tokens long, ids_crc32 long" + ", token_ids binary" * with_ids)
+    fields = [StructField("id", kind), *[StructField(c, LongType()) for c in ("start", "n_tokens", "ids_crc32")]]
+    return rows.mapInArrow(run, StructType(fields + [StructField("token_ids", BinaryType())] * with_ids))

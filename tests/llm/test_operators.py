@@ -353,6 +353,38 @@ def test_token_files_hold_all_ids(spark, tmp_path):
     assert all(zlib.crc32(bytes(r.token_ids)) == r.ids_crc32 for r in out)
 
 
+@pytest.mark.parametrize("kind", ["long", "decimal(20,0)"])
+def test_token_query_equals_the_library(spark, tmp_path, kind):
+    tokenizers = pytest.importorskip("tokenizers")
+    model = tokenizers.Tokenizer.from_file(queries.tokenizer_path())
+    rng = random.Random(12)
+    texts = [None, "", " \n", "a <|endoftext|> b", "ünïcode 日本 \U0001f600", "x" * 300_000, prose(rng, 9000), *(prose(rng, 30) for _ in range(40))]
+    rows = [(int(7919 * k % 101), t) for k, t in enumerate(texts)] + [(500, "equal rows")] * 60 + [(None, "no id")]
+    data = spark.createDataFrame([(None if i is None else str(i), t, "clash", "clash") for i, t in rows], "k string, text string, id string, ids string").repartition(5)
+    data = data.select(F.col("k").cast(kind).alias("doc_id"), "text", "id", "ids")
+    data.write.parquet(str(tmp_path / "documents.parquet"))
+    out = sorted(queries.op1_token_files(spark, str(tmp_path)).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in out] == sorted((r[0] for r in rows), key=lambda i: (i is not None, i or 0))
+    raw = [np.array([*model.encode(t or "", add_special_tokens=False).ids, 0], "<u4") for _, t in rows]
+    want = Counter((i, len(x), zlib.crc32(x.tobytes())) for (i, _), x in zip(rows, raw, strict=True))
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in out) == want
+    assert [r.start for r in out] == list(itertools.accumulate([0, *(r.n_tokens for r in out)]))[:-1]
+    data.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert queries.op1_token_files(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_token_blocks_beat_zlib_on_real_ids():
+    tokenizers = pytest.importorskip("tokenizers")
+    pq = pytest.importorskip("pyarrow.parquet")
+    model = tokenizers.Tokenizer.from_file(queries.tokenizer_path())
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").to_pylist()
+    ids = np.concatenate([np.array([*model.encode(t or "", add_special_tokens=False).ids, 0], np.uint32) for t in texts])
+    blocks = [ids[k : k + token_coder.BLOCK] for k in range(0, len(ids), token_coder.BLOCK)]
+    coded = token_coder.encode_blocks(blocks)
+    assert all((a == b).all() for a, b in zip(blocks, token_coder.decode_blocks(coded), strict=True))
+    assert sum(map(len, coded)) < 0.92 * sum(len(zlib.compress(b.astype("<u2").tobytes(), 9)) for b in blocks)
+
+
 def test_license_model_knows_families_and_unknown(docs):
     rng = random.Random(1)
     model = licenses.train([prose(rng, 30) for _ in range(200)])
