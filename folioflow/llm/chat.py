@@ -10,20 +10,26 @@ A conversation of any length is repaired exactly although no task holds all of i
 conversation, turn, role and text, each task sums up its part of a conversation that crosses its borders as a min-plus matrix
 between states, the driver chains these (two rows from each task at most), and each task then traces its own part.
 
-Output is a row for each turn with the piece of rendered text that belongs to it; a conversation's pieces in order are the whole rendering.
+Output is a row for each turn with the piece of rendered text that belongs to it and ``seq``, the turn's number within the whole conversation; a conversation's
+pieces in the order of ``seq`` are the whole rendering. A text's own ``<|`` is written ``<\\|`` (and ``<\\|`` with one backslash more, and so on), so that no
+text can open or close a turn and the writing can be undone; see ``unescaped``.
 
 Defined results: a null role or one that is not system, user or assistant must be relabelled; a null text is empty.
 Turns without a conversation id form one conversation. Turns with equal numbers are taken in the order of role and text; repeated rows are turns
-of their own. Extra columns are not read.
+of their own. Ids and turn numbers may be of any type that Spark orders. Extra columns are not read.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import cut
 
@@ -105,8 +111,21 @@ def _head(role: int) -> str:
 END = "<|end|>\n"
 
 
+_MARK, _WRITTEN = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
+
+
+def escaped(text: str) -> str:
+    return _MARK.sub(r"<\\\1|", text) if "|" in text else text
+
+
+def unescaped(text: str) -> str:
+    """The text that ``escaped`` wrote."""
+    return _WRITTEN.sub(r"<\1|", text)
+
+
 def piece(state: int, role: int, merged: bool, text: str, closes: list[int] | None) -> str:
     """The turn's share of the rendering; ``closes``: empty turns after the conversation's last one, else None."""
+    text = escaped(text)
     if merged:
         out = "\n" + text
     else:
@@ -115,11 +134,10 @@ def piece(state: int, role: int, merged: bool, text: str, closes: list[int] | No
 
 
 def repaired(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """conversation, turn, ``seq`` (within the task's part), ``role``, ``role_out``, ``action``, ``inserted``, ``rendered``, ``text``."""
-    named = turns.select(*[F.col(f"`{c}`").alias(n) for c, n in ((conv_col, "conv"), (turn_col, "turn"), (role_col, "role"), (text_col, "text"))])
+    """conversation, turn, ``seq`` (from 0, within the conversation), ``role``, ``role_out``, ``action``, ``inserted``, ``rendered``, ``text``."""
+    named = turns.select(F.col(f"`{conv_col}`").alias("conv"), F.col(f"`{turn_col}`").alias("turn"), F.col(f"`{role_col}`").cast("string").alias("role"), F.col(f"`{text_col}`").cast("string").alias("text"))
     keys = ["conv", "turn", "role", "text"]
     n = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kinds = {f.name: f.dataType.simpleString() for f in named.schema.fields}
     rows = cut(named.repartitionByRange(n, *keys).sortWithinPartitions(*keys))
 
     def parts(batches):
@@ -142,11 +160,11 @@ def repaired(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
             run = (task, conv, [_ROLE.get(r[2], 0) for r in held])
             runs = [runs[0], run] if runs else [run]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in runs], pa.int32()), pa.array(list(range(len(runs))), pa.int32()), pa.array([None if r[1] is None else str(r[1]) for r in runs], pa.string()), pa.array([[x for row in matrix(r[2]) for x in row] for r in runs], pa.list_(pa.float64()))],
-            ["task", "nth", "conv", "m"],
+            [pa.array([r[0] for r in runs], pa.int32()), pa.array(list(range(len(runs))), pa.int32()), pa.array([len(r[2]) for r in runs], pa.int64()), pa.array([None if r[1] is None else str(r[1]) for r in runs], pa.string()), pa.array([[x for row in matrix(r[2]) for x in row] for r in runs], pa.list_(pa.float64()))],
+            ["task", "nth", "turns", "conv", "m"],
         )
 
-    ends = sorted(rows.mapInArrow(borders, "task int, nth int, conv string, m array<double>").collect())
+    ends = sorted(rows.mapInArrow(borders, "task int, nth int, turns long, conv string, m array<double>").collect(), key=lambda r: (r.task, r.nth))
     # for the first (0) and last (1, or 0 if alone) run of a task: costs before it, and the state it must end in
     entry: dict[tuple[int, int], list[float]] = {}
     leave: dict[tuple[int, int], int] = {}
@@ -158,9 +176,12 @@ def repaired(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
             chained[-1].append(r)
         else:
             chained.append([r])
+    first_seq: dict[tuple[int, int], int] = {}
     for chain in chained:
-        costs = fresh
+        costs, before = fresh, 0
         for r in chain:
+            first_seq[r.task, r.nth] = before
+            before += r.turns
             entry[r.task, r.nth] = costs
             m = np.array(r.m).reshape(4, 4)
             costs = (np.array(costs)[:, None] + m).min(0).tolist()
@@ -188,17 +209,19 @@ def repaired(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
             roles = [_ROLE.get(r[2], 0) for r in held]
             costs = forward(entry.get(at, fresh), roles)
             path = trace(costs, roles, leave.get(at, best_end(costs[-1])))
-            last = len(held) - 1
+            last, base = len(held) - 1, first_seq.get(at, 0)
             out = {"conv": [], "turn": [], "seq": [], "role": [], "role_out": [], "action": [], "inserted": [], "rendered": [], "text": []}
             for k, (row, (s, to, merged)) in enumerate(zip(held, path, strict=True)):
                 closes = ending(to)[1] if k == last and at not in open_after else None
-                values = (row[0], row[1], k, row[2], STATES[to], ("merge" if merged else "keep") if roles[k] == to else ("relabel+merge" if merged else "relabel"), (0 if merged else len(_FILL[s][to])) + len(closes or ()), piece(s, to, merged, row[3] or "", closes), row[3])
+                values = (row[0], row[1], base + k, row[2], STATES[to], ("merge" if merged else "keep") if roles[k] == to else ("relabel+merge" if merged else "relabel"), (0 if merged else len(_FILL[s][to])) + len(closes or ()), piece(s, to, merged, row[3] or "", closes), row[3])
                 for name, v in zip(out, values, strict=True):
                     out[name].append(v)
             yield out
             i += 1
 
-    fields = {"conv": kinds["conv"], "turn": kinds["turn"], "seq": "long", "role": "string", "role_out": "string", "action": "string", "inserted": "long", "rendered": "string", "text": "string"}
+    whole, words = LongType(), StringType()
+    schema = StructType([named.schema["conv"], named.schema["turn"], *[StructField(c, t) for c, t in (("seq", whole), ("role", words), ("role_out", words), ("action", words), ("inserted", whole), ("rendered", words), ("text", words))]])
+    types = {f.name: to_arrow_type(f.dataType) for f in schema}
 
     def batches_of(batches):
         held, n = None, 0
@@ -216,10 +239,8 @@ def repaired(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
             a[k].extend(v)
         return a
 
-    types = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "long": pa.int64()}
-
     def _batch(out):
-        return pa.RecordBatch.from_arrays([pa.array(out[k], types[t]) for k, t in fields.items()], list(fields))
+        return pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in types.items()], list(types))
 
-    result = rows.mapInArrow(batches_of, ", ".join(f"{k} {t}" for k, t in fields.items()))
+    result = rows.mapInArrow(batches_of, schema)
     return result.withColumnsRenamed({"conv": conv_col, "turn": turn_col, "text": text_col, "role": role_col})

@@ -3,7 +3,7 @@
 Each line, and each join of neighbouring lines that together reach a template, is classified by multinomial logistic regression over sparse word n-grams (1 to 3 words, those
 of the templates) into licence families and ``unknown``. It is trained here on the templates, whole and with words left out, by
 themselves and within prose, and on paragraphs of a bounded sample of ``SAMPLE`` texts and shuffled template words as unknown. A
-temperature fitted on a third of the rows calibrates the probabilities; a family must reach ``SURE``. A prediction
+temperature fitted on a third of the rows, with unknown paragraphs that training has not seen, calibrates the probabilities; a family must reach ``SURE``. A prediction
 counts only if a template of the family confirms it: at least ``OVERLAP`` of the template's word pairs stand in the paragraph.
 
 Notices are often wrapped hard, also within comments. A join is looked for in runs of lines that all have word pairs of one template (comment
@@ -14,7 +14,7 @@ Of joins that share words the one with most pairs counts, and a line's own hit o
 Scoring maps over whole texts, nothing is shuffled, and the model's size follows the templates.
 
 Defined results: null and blank texts have no paragraphs and no licence. A text with several families reports the
-likeliest, ties by name, and all of them in ``families``. Repeated rows stay. Extra columns are not read. Without
+likeliest, ties by name, and all of them in ``families``. Without documents the model is that of shuffled templates. Repeated rows stay. Extra columns are not read. Without
 any text to sample, unknown is learnt from shuffled template words alone.
 """
 
@@ -23,16 +23,20 @@ from __future__ import annotations
 import math
 import random
 import re
+import zlib
 from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import only
 
 SAMPLE, SURE, OVERLAP = 400, 0.6, 0.6
+#: Of a sampled text so many paragraphs, none of more words.
+PARAGRAPHS, PARAGRAPH_WORDS = 8, 1000
 #: Customary short statements of each family.
 TEMPLATES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "SPDX-License-Identifier: Apache-2.0"],
@@ -228,6 +232,12 @@ def train(paragraphs: list[str], templates: dict[str, list[str]] | None = None,
     model, rng = Model(templates), random.Random(7)
     prose = [w for p in paragraphs for w in words_of(p)] or ["lorem", "ipsum"]
     rows: list[tuple[list[str], str]] = []
+    templates_pairs = [t for ts in model.templates.values() for t in ts if t]
+
+    def like_template(words: list[str]) -> bool:
+        have = pairs(words)
+        return any(len(t & have) / len(t) >= OVERLAP for t in templates_pairs)
+
     for family, texts in templates.items():
         for text in texts:
             words = words_of(text)
@@ -235,13 +245,13 @@ def train(paragraphs: list[str], templates: dict[str, list[str]] | None = None,
                 kept = [w for w in words if rng.random() > 0.06] or words
                 k, m = rng.choice((0, 0, 0, 4, 12, 30)), rng.choice((0, 0, 0, 4, 12, 30))
                 rows.append(([*rng.choices(prose, k=k), *kept, *rng.choices(prose, k=m)], family))
-                rows.append((rng.sample(words, len(words)) if rng.random() < 0.5 else rng.sample(words, max(1, len(words) // 4)), UNKNOWN))
-    templates_pairs = [t for ts in model.templates.values() for t in ts]
-    for p in paragraphs:
-        have = pairs(words_of(p))
-        if not any(len(t & have) / len(t) >= OVERLAP for t in templates_pairs if t):
-            rows.append((words_of(p), UNKNOWN))
-    rng.shuffle(rows)
+                mixed = rng.sample(words, len(words) if rng.random() < 0.5 else max(1, len(words) // 4))
+                if not like_template(mixed):  # a short notice may come out whole
+                    rows.append((mixed, UNKNOWN))
+    rows += [(words, UNKNOWN) for words in map(words_of, paragraphs) if not like_template(words)]
+    # a paragraph is on one side of the split, however often it is repeated
+    sides = [zlib.crc32(" ".join(words).encode()) % 3 == 0 if family == UNKNOWN else rng.random() < 1 / 3 for words, family in rows]
+    rows = [r for r, s in zip(rows, sides, strict=True) if not s] + [r for r, s in zip(rows, sides, strict=True) if s]
     x = np.zeros((len(rows), len(model.vocabulary) + 2))
     y = np.zeros((len(rows), len(model.families)))
     for i, (words, family) in enumerate(rows):
@@ -249,7 +259,7 @@ def train(paragraphs: list[str], templates: dict[str, list[str]] | None = None,
         x[i, found] = 1 / math.sqrt(len(found) or 1)
         x[i, -2:] = 1, outside
         y[i, model.families.index(family)] = 1
-    fit, check = slice(0, len(rows) * 2 // 3), slice(len(rows) * 2 // 3, None)
+    fit, check = slice(0, len(rows) - sum(sides)), slice(len(rows) - sum(sides), None)
     w, first, second = model.weights, 0.0, 0.0
     for t in range(1, steps + 1):
         z = x[fit] @ w
@@ -269,23 +279,33 @@ def train(paragraphs: list[str], templates: dict[str, list[str]] | None = None,
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
-    """Train with the paragraphs of the ``sample`` texts whose ids hash lowest as unknown, ``8 * sample`` at most."""
-    chosen = only(docs, id_col, text_col).toDF("id", "text").where("text is not null").select(F.xxhash64(F.col("id").cast("string")).alias("h"), "text")
-    rows = chosen.orderBy("h", "text").limit(sample).collect()
+    """Train with paragraphs of the ``sample`` ids that hash lowest as unknown: of each id one text, and of it the ``PARAGRAPHS`` whose digests are lowest.
+    The ids' hashes come to the driver first, then no more than these paragraphs."""
+    hashed = only(docs, id_col, text_col).toDF("id", "text").where("text is not null").select(F.xxhash64(F.col("id").cast("string")).alias("h"), "text")
+    lowest = [r.h for r in hashed.select("h").distinct().orderBy("h").limit(sample).collect()]
     model = Model(TEMPLATES)
 
     def unknown(text: str) -> list[str]:
         """Lines that are no part of a notice over several lines."""
         lines = text.split("\n")
-        inside = {i for _, a, b, _, _ in model.joins(lines, [words_of(line) for line in lines]) for i in range(a, b + 1)}
-        return [line for i, line in enumerate(lines) if line.strip() and i not in inside]
+        words = [words_of(line) for line in lines]
+        inside = {i for _, a, b, _, _ in model.joins(lines, words) for i in range(a, b + 1)}
+        found = [line for i, line in enumerate(lines) if line.strip() and i not in inside and len(words[i]) <= PARAGRAPH_WORDS]
+        return sorted(found, key=lambda line: (zlib.crc32(line.encode()), line))[:PARAGRAPHS]
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zlib.crc32(t.encode()) for t in texts], pa.int64()), pa.array([unknown(t) for t in texts], pa.list_(pa.string()))], ["h", "at", "lines"])
 
-    return train([line for r in rows for line in unknown(r.text)][: 8 * sample])
+    found = hashed.where(F.col("h").isin(lowest)).mapInArrow(run, "h long, at long, lines array<string>")
+    rows = found.groupBy("h").agg(F.min(F.struct("at", "lines")).alias("one")).select("h", "one.lines").collect()  # a row for each hash
+    return train([line for r in sorted(rows) for line in r["lines"]])
 
 
 def scanned(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ``n_paragraphs``, ``license`` (or null), ``probability``, ``families``, ``hits`` (line, family, probability, similarity)."""
-    kind = docs.select(F.col(f"`{id_col}`")).schema[0].dataType.simpleString()
+    kind = only(docs, id_col).toDF("id").schema[0]
     hit = pa.struct([("line", pa.int64()), ("family", pa.string()), ("probability", pa.float64()), ("similarity", pa.float64())])
 
     def run(batches):
@@ -297,5 +317,6 @@ def scanned(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 ["id", "n_paragraphs", "license", "probability", "families", "hits"],
             )
 
-    out = only(docs, id_col, text_col).mapInArrow(run, f"id {kind}, n_paragraphs long, license string, probability double, families array<string>, hits array<struct<line: long, family: string, probability: double, similarity: double>>")
+    rest = StructType.fromDDL("n_paragraphs long, license string, probability double, families array<string>, hits array<struct<line: long, family: string, probability: double, similarity: double>>")
+    out = only(docs, id_col, text_col).mapInArrow(run, StructType([kind, *rest.fields]))
     return out.withColumnRenamed("id", id_col)

@@ -3,7 +3,7 @@
 Each line gets the label good or bad. A line's features describe it, its two neighbours and how it repeats
 within the text; two weights a pair of labels join neighbouring lines. Training maximises the conditional likelihood of
 the labelled texts' line labels (every line has its text's label) on a bounded sample of ``MAX_TRAIN`` texts of each label, taken in the
-order of a hash of their ids. A text's score is the mean of its lines' marginal probabilities of ``good`` from
+order of a hash of their ids; of a sampled id's texts one, and none of more than ``MAX_LINES`` lines, so what the driver gathers has a fixed bound. A text's score is the mean of its lines' marginal probabilities of ``good`` from
 the forward-backward recursions, weighted by the lines' lengths.
 
 Lines are what ``\\n`` separates and has a character other than white space. Scoring maps over the texts; nothing is shuffled and
@@ -23,10 +23,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from .common import only, small
 
 MAX_TRAIN = 800  #: texts of each label
+MAX_LINES = 400  #: of a text that is trained on
 STEPS, RATE, DECAY = 120, 0.1, 1e-3
 THRESHOLD = 0.3
 _CAPITALS, _DIGITS, _SYMBOLS, _PUNCT = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#*$%&|<>", b".,;:!?"
@@ -188,18 +190,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def run(batches):
         for batch in batches:
-            rows = [line_features(lines_of(t)).astype(np.float32) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rows], pa.binary()), batch.column(1), batch.column(2)], ["x", "y", "at"])
+            lines = [lines_of(t) for t in batch.column(0).to_pylist()]
+            rows = [line_features(x).astype(np.float32).tobytes() if len(x) <= MAX_LINES else None for x in lines]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), *batch.columns[1:]], ["x", "y", "at", "label_id"])
 
     texts = only(docs, id_col, text_col).toDF("id", "text").join(small(chosen, 16), F.col("id") == F.col("label_id"))
-    rows = texts.select("text", "y", F.xxhash64("text").alias("at")).mapInArrow(run, "x binary, y int, at long").collect()
+    kind = marks.schema["label_id"]
+    rows = texts.select("text", "y", F.xxhash64("text").alias("at"), "label_id").mapInArrow(run, StructType([StructField("x", BinaryType()), StructField("y", IntegerType()), StructField("at", LongType()), kind]))
+    rows = rows.where("x is not null").groupBy("label_id").agg(F.min(F.struct("at", "y", "x")).alias("one")).select("one.*").collect()  # a row for each chosen id
     rows.sort(key=lambda r: (r.at or 0, r.y))
     return train([(np.frombuffer(r.x, np.float32).reshape(-1, SIZE).astype(float), r.y) for r in rows])
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """id, ``held_out``, ``score``, ``predicted``, and ``n_lines``."""
-    kind = docs.select(F.col(f"`{id_col}`")).schema[0].dataType.simpleString()
+    kind = only(docs, id_col).toDF("id").schema[0]
 
     def run(batches):
         for batch in batches:
@@ -207,7 +212,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             scores = [model.score(t) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([len(lines_of(t)) for t in texts], pa.int64())], ["id", "score", "n_lines"])
 
-    out = only(docs, id_col, text_col).mapInArrow(run, f"id {kind}, score double, n_lines long")
+    out = only(docs, id_col, text_col).mapInArrow(run, StructType([kind, StructField("score", DoubleType()), StructField("n_lines", LongType())]))
     return out.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_lines")
 
 

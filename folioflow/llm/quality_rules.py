@@ -7,15 +7,18 @@ smoothed by ``SMOOTHING`` counts a bucket; it is kept if the score is at least `
 
 Everything is DataFrame functions. Counting explodes hashes only and aggregates before its one shuffle, of at
 most ``BUCKETS`` rows from each task; the resulting weights (a constant number) become a literal of the scoring
-expression, which works within each row: no text is shuffled, and no group gathers in a task.
+expression, which works within each row, and no group gathers in a task.
 
 Base counts of a text: ``n_words``; ``word_chars`` (code points in words); ``n_symbols`` (of ``[#*$%&|<>]``);
 ``n_dup_lines`` (lines with a word, equal to an earlier line); ``n_repeat_words`` (words in 3-word windows found
-twice or more, by 64-bit hashes of words).
+twice or more, by 48 bits of the windows' hashes at every length of text).
 
 Defined results: null and blank texts have no words, score 0 and fail the base rules. A target or corpus without
 n-grams gives all weights 0, so that the base rules alone decide. Repeated rows stay. Extra columns pass through
 ``with_quality_rules`` unless they carry the name of an added column, which is then replaced.
+
+Trusted ids are broadcast up to a counted 32 MB (two million ids); more of them are joined by a shuffle of the texts, the
+only case in which texts are shuffled.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, small
+from .common import only, small, unused
 
 BUCKETS, SMOOTHING, LEAST = 1 << 14, 1.0, -0.05
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -97,9 +100,9 @@ def repeat_words(hashes: Column, pairs: Column) -> Column:
         gaps = lambda p: F.zip_with(_front(p, 1), _rest(p, 1), lambda a, b: F.least(b - a, F.lit(3)))
         return let(F.sort_array(positions), lambda p: F.aggregate(gaps(p), F.lit(3), lambda t, x: t + x))
 
-    structs = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
+    structs = F.sort_array(F.transform(windows, lambda h, i: F.struct(F.shiftright(h, 16).alias("h"), i.alias("p"))))
     n = F.size(hashes)
-    no_repeat = F.size(F.array_distinct(windows)) == n - 2
+    no_repeat = F.size(F.array_distinct(F.transform(windows, lambda h: F.shiftright(h, 16)))) == n - 2
     return F.when((n < 4) | no_repeat, 0).when(n < 65536, let(F.sort_array(packed), short)).otherwise(let(structs, long)).cast("long")
 
 
@@ -143,11 +146,12 @@ def _llr(weight: list[float], h: Column, pairs: Column) -> Column:
 def with_quality_rules(docs: DataFrame, weight: list[float], text_col: str = "text", least: float = LEAST) -> DataFrame:
     """``docs`` with the base counts, ``llr``, ``base_failed`` and ``kept``."""
     text = F.col(f"`{text_col}`")
-    hashed = docs.select("*", word_hashes(text.cast("string")).alias("__h")).withColumn("__p", pair_hashes(F.col("__h")))
-    h, pairs = F.col("__h"), F.col("__p")
+    h_name, p_name = unused(docs, "word_h", "pair_h")
+    hashed = docs.select("*", word_hashes(text.cast("string")).alias(h_name)).withColumn(p_name, pair_hashes(F.col(h_name)))
+    h, pairs = F.col(h_name), F.col(p_name)
     counts = base_counts(text.cast("string"), h, pairs)
     clash = [c for c in docs.columns if c in ADDED]
-    out = hashed.drop(*clash).select("*", *[c.alias(n) for n, c in counts.items()], _llr(weight, h, pairs).alias("llr")).drop("__h", "__p")
+    out = hashed.drop(*clash).select("*", *[c.alias(n) for n, c in counts.items()], _llr(weight, h, pairs).alias("llr")).drop(h_name, p_name)
     bad = failed(F.col("n_words"), F.col("n_repeat_words"))
     return out.withColumn("base_failed", bad).withColumn("kept", ~bad & (F.col("llr") >= least))
 

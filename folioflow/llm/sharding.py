@@ -7,7 +7,8 @@ modulo the table size; the table (``SIZE`` entries, a constant) is part of the p
 array access without a shuffle.
 
 Defined results: a null key has the hash of the empty string. Equal keys share a shard. Shards are known by
-name: their order in the list does not matter, repeated names count once; no shard at all is an error.
+name: their order in the list does not matter, repeated names count once; no shard at all is an error. Columns that already
+have the names of the two added ones are replaced, the key included, after the key has been read; other extra columns stay.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 SIZE = 65_537
 
 
@@ -46,12 +49,15 @@ def slot_of(key, size: int = SIZE):
     return F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), F.lit(size)).cast("int")
 
 
-def sharded(df: DataFrame, key: str, shards: list[str], size: int = SIZE) -> DataFrame:
-    """``df`` with ``slot`` and ``shard`` (name)."""
+def sharded(df: DataFrame, key: str, shards: list[str], size: int = SIZE, slot_col: str = "slot", shard_col: str = "shard") -> DataFrame:
+    """``df`` with the slot and the name of the shard of each row."""
     names = sorted(set(shards))
     table = F.split(F.lit(",".join(map(str, lookup_table(names, size).tolist()))), ",").cast("array<int>")
     slot = slot_of(F.col(f"`{key}`"), size)
-    return df.withColumn("slot", slot).withColumn("shard", F.element_at(F.array(*map(F.lit, names)), F.element_at(table, F.col("slot") + 1) + 1))
+    own = [c for c in df.columns if c.lower() not in (slot_col.lower(), shard_col.lower())]
+    (at,) = unused(df, "slot_at")
+    placed = df.withColumn(at, slot)
+    return placed.select(*[F.col(f"`{c}`") for c in own], F.col(at).alias(slot_col), F.element_at(F.array(*map(F.lit, names)), F.element_at(table, F.col(at) + 1) + 1).alias(shard_col))
 
 
 def write_sharded(df: DataFrame, path: str, key: str, shards: list[str], size: int = SIZE) -> None:

@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import math
 import random
@@ -76,6 +77,8 @@ def test_jaccard_components_match_brute_force(docs, empty):
     got = Counter((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in ngram_jaccard.jaccard_components(docs).collect())
     assert got == want
     assert ngram_jaccard.jaccard_components(empty).count() == 0
+    clash = docs.select("*", F.lit(1).alias("gone_id"), F.lit(1).alias("class_mark"), F.lit(1).alias("__class"), F.lit(1).alias("drop_id"))
+    assert ngram_jaccard.deduplicated(clash).count() == ngram_jaccard.deduplicated(docs).count()
     kept = ngram_jaccard.deduplicated(docs)
     assert kept.columns == docs.columns
     with_set = [r for r in kept.collect() if words(r.text)]
@@ -126,8 +129,11 @@ def test_winnowing_matches_brute_force(spark, docs, empty, monkeypatch):
     assert clean.columns == docs.columns and clean.count() == sum(n for k, n in want.items() if not k[2])
     assert decontaminate.contamination(empty, bench).count() == 0
     assert decontaminate.contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 200)
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", 0)  # fingerprints are joined by a shuffle
     assert got() == want
+    clean = decontaminate.clean(docs, bench)
+    assert clean.columns == docs.columns and clean.count() == sum(n for k, n in want.items() if not k[2])
+    assert decontaminate.contamination(empty, bench).count() == 0
 
 
 def test_quality_rules_match_brute_force(spark, docs, empty):
@@ -161,6 +167,9 @@ def test_quality_rules_match_brute_force(spark, docs, empty):
         assert abs(r.llr - llr) < 1e-6
         assert r.base_failed == (len(w) < 50 or 100 * len(covered) > 50 * len(w))
         assert r.kept == (not r.base_failed and r.llr >= quality_rules.LEAST)
+    repeats = " ".join(f"w{k % 40_000}" for k in range(70_000))
+    long = quality_rules.with_quality_rules(spark.createDataFrame([(1, repeats, "h", "p")], "doc_id long, text string, word_h string, pair_h string"), weight).first()
+    assert (long.n_words, long.n_repeat_words, long.word_h, long.pair_h) == (70_000, 60_000, "h", "p")
     clashing = docs.withColumn("kept", F.lit("clash")).withColumn("n_words", F.lit(None).cast("string"))
     passed = quality_rules.passing(clashing, weight)
     assert passed.columns == clashing.columns
@@ -194,6 +203,14 @@ def test_crf_marginals_match_enumeration_and_learn(spark, docs, empty):
     assert all(0 <= r.score <= 1 for r in line_crf.scored(docs, model).collect())
     assert line_crf.scored(empty, line_crf.fit(empty, labels)).count() == 0
     assert line_crf.good(docs, model).columns == docs.columns
+    # one kind of label, or none: no score says anything
+    one = labels.where("quality = 1")
+    assert {r.score for r in line_crf.scored(docs, line_crf.fit(data, one)).collect()} == {0.5}
+    # contradictory labels are bad ones, a repeated id is trained on once, and a text of very many lines not at all
+    twice = labels.unionByName(labels.withColumn("quality", F.lit(0)))
+    assert {r.score for r in line_crf.scored(docs, line_crf.fit(data, twice)).collect()} == {0.5}
+    again = line_crf.fit(data.unionByName(data).unionByName(spark.createDataFrame([(1, "line\n" * 5000)], data.schema)), labels)
+    assert np.allclose(again.weights, model.weights)
 
 
 def test_url_rules_and_vocabulary(spark):
@@ -203,6 +220,12 @@ def test_url_rules_and_vocabulary(spark):
     assert [out[k].verdict for k in range(6, 13)] == ["allow", "allow", "allow", "block", "block", "allow", "block"]
     assert (out[6].host, out[7].path, out[1].host) == ("", "", "a.example.com")
     assert url_filter.judged(spark.createDataFrame([], "page_id long, url string")).count() == 0
+    terms = spark.createDataFrame([("Foo", 0.5), ("bar", 0.5), ("foo", 0.25), (None, 1.0), ("", 1.0), ("baz", None)], "term string, weight double")
+    own = url_filter.vocabulary_of(terms)
+    assert own == {"foo": 0.5, "bar": 0.5}
+    clash = spark.createDataFrame([(1, "http://foo.io/bar", "x", "y"), (2, "http://foobar.io/" + "a/" * 200_000 + "foo", "x", "y"), (2, "http://porn.io", "x", "y")], "page_id int, url string, host string, verdict string")
+    out = url_filter.judged(clash, vocabulary=own).collect()
+    assert sorted((r.page_id, r.terms, r.verdict) for r in out) == [(1, ["bar", "foo"], "block"), (2, [], "allow"), (2, ["foo"], "allow")]
 
 
 def test_sharding_is_even_and_stable(docs, empty):
@@ -220,6 +243,25 @@ def test_sharding_is_even_and_stable(docs, empty):
         sharding.lookup_table([])
 
 
+def test_sharding_matches_brute_force(spark):
+    names, size = ["a", "c", "b", "a"], 101
+    seeds = {x: hashlib.md5(x.encode()).digest() for x in names}
+    table, at = {}, dict.fromkeys(names, 0)
+    while len(table) < size:
+        for x in sorted(set(names)):
+            orders = [(int.from_bytes(seeds[x][:8], "big") + k * (int.from_bytes(seeds[x][8:], "big") % (size - 1) + 1)) % size for k in range(size)]
+            free = next((k for k in range(size) if orders[k] not in table), None)
+            if free is not None and len(table) < size:
+                table[orders[free]] = x
+    keys = [None, "", *map(str, range(500)), *["hot"] * 300]
+    rows = spark.createDataFrame([(k, "mine", "yours") for k in keys], "key string, slot string, Shard string")
+    out = sharding.sharded(rows, "key", names, size)
+    assert out.columns == ["key", "slot", "shard"]
+    slot = lambda k: int(hashlib.md5((k or "").encode()).hexdigest()[:15], 16) % size
+    assert Counter(map(tuple, out.collect())) == Counter((k, slot(k), table[slot(k)]) for k in keys)
+    assert [tuple(r) for r in sharding.sharded(rows.where("slot = 'mine'").limit(1), "slot", names, size).select("slot", "shard").collect()] == [(slot("mine"), table[slot("mine")])]
+
+
 def test_packing_matches_brute_force_and_constraints(docs, empty):
     rng = random.Random(2)
     pieces = sorted(((rng.randint(1, 60), rng.randint(0, 5), rng.randint(0, 40)) for _ in range(300)), key=lambda x: -x[0])
@@ -260,6 +302,29 @@ def test_packing_keeps_apart_only_equal_values():
     assert len({b for b, _ in packing.pack([(1, k << 12, k << 12) for k in range(2000)], 2048)}) == 1
 
 
+def test_packing_holds_its_constraints_with_a_third_of_equal_rows(spark, empty):
+    rng = random.Random(7)
+    rows = [(k, prose(rng, rng.randint(1, 90)), f"src{rng.randrange(9)}") for k in range(400)] + [(7, "the same row again and again", "src1")] * 200
+    data = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("id", F.lit("clash"))
+    out = packing.packed(data, capacity=64, group_rows=100).collect()
+    assert sum(r.n_units for r in out) == sum(len(words(t)) for _, t, _ in rows)
+    of = {}
+    for i, t, s in rows:
+        of.setdefault(i, []).append((t, s))
+    bins = {}
+    for r in out:
+        bins.setdefault(r.bin_id, []).append(r)
+    for members in bins.values():
+        assert sum(r.n_units for r in members) == members[0].bin_fill <= 64
+        sources = [of[r.doc_id][0][1] if r.doc_id != 7 or r.n_units != 6 else "src1" for r in members]
+        assert len(sources) == len(set(sources))
+        spans = sorted((r.bin_offset, r.bin_offset + r.n_units) for r in members)
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+    assert sum(r.doc_id == 7 and r.n_units == 6 for r in out) == 200
+    blank = spark.createDataFrame([(1, None, "a"), (2, " ", "a")], "doc_id long, text string, source string")
+    assert packing.packed(blank).count() == packing.packed(empty).count() == 0
+
+
 @pytest.mark.parametrize("repeated", [False, True])
 def test_packing_keeps_near_copies_apart(spark, tmp_path, repeated):
     rng = random.Random(9)
@@ -331,6 +396,19 @@ def test_chat_repair_is_cheapest(spark):
     assert chat.repaired(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_chat_numbers_turns_and_escapes_markers(spark):
+    text = "a <|end|> b <\\|user|> | c"
+    assert chat.unescaped(chat.escaped(text)) == text and "<|" not in chat.escaped(text)
+    rows = [(1, 0, ("user", "assistant")[k % 2], f"{text} {k}" if k % 50 else None) for k in range(900)] + [(2, t, "user", "x" * 200_000) for t in range(2)]
+    data = spark.createDataFrame([(str(c), str(t), r, x, "clash") for c, t, r, x in rows], "conv_id string, turn string, role string, text string, seq string")
+    out = chat.repaired(data.select(F.col("conv_id").cast("decimal(9,0)").alias("conv_id"), F.col("turn").cast("double").alias("turn"), "role", "text", "seq")).collect()
+    assert sorted(r.seq for r in out if r.conv_id == 1) == list(range(900))
+    mine = sorted((r for r in out if r.conv_id == 1), key=lambda r: r.seq)
+    shown = "".join(r.rendered for r in mine)
+    parts = re.findall(r"<\|(?:user|assistant|system)\|>\n(.*?)<\|end\|>\n", shown, re.DOTALL)
+    assert chat.unescaped("".join(parts)).replace("\n", "") == "".join(r.text or "" for r in mine)
+
+
 def test_token_blocks_round_trip():
     rng = np.random.default_rng(0)
     blocks = [rng.integers(0, 70_000, n).astype(np.uint32) for n in (0, 1, 7, 40)] + [np.tile(np.array([5, 9, 5], np.uint32), 30), np.zeros(9, np.uint32)]
@@ -395,6 +473,28 @@ def test_license_model_knows_families_and_unknown(docs):
     assert licenses.scanned(docs, model).where("license is not null").count() == 0
 
 
+def test_licenses_are_found_where_planted_and_nowhere_else(spark, empty):
+    rng = random.Random(2)
+    texts = [t for ts in licenses.TEMPLATES.values() for t in ts]
+    family = {t: f for f, ts in licenses.TEMPLATES.items() for t in ts}
+    rows, want = [], {}
+    for k in range(160):
+        body = [prose(rng, 40) for _ in range(rng.randint(1, 6))]
+        if k % 4 == 0:
+            said = texts[k // 4 % len(texts)]
+            body.insert(rng.randrange(len(body) + 1), said)
+            want[k] = family[said]
+        rows.append((k, "\n".join(body), "clash"))
+    rows += [(900, None, "clash"), (901, "", "clash"), (0, rows[0][1], "clash"), (902, "word " * 60_000, "clash")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, license string")
+    out = licenses.scanned(docs, licenses.fit(docs)).collect()
+    assert len(out) == len(rows) and {r.doc_id: r.license for r in out if r.license} == want
+    assert licenses.scanned(empty, licenses.fit(empty)).count() == 0
+    # of two families in one text the likelier one counts, by name if they tie
+    both = licenses.train([]).scan("Licensed under the MIT License.\nReleased under the MIT License.")[1]
+    assert [h["line"] for h in both] == [0, 1]
+
+
 def test_license_notices_are_found_however_they_are_wrapped():
     rng = random.Random(1)
     model = licenses.train([prose(rng, 30) for _ in range(200)])
