@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,18 +64,50 @@ def detected(data: Column, name: Column) -> Column:
     return F.when(starts_with_bytes(data, "255044462D"), "pdf").when(starts_with_bytes(data, "504B"), F.when(low.endswith(".fb2.zip"), "fb2zip").otherwise("epub")).when(low.endswith(".fb2") | head.contains("<FictionBook"), "fb2")
 
 
+#: Which output files a selection keeps. ``*`` always holds, ``archive`` is a profile, the others are output groups.
+KEPT = (
+    ("*", r"(?:SECURITY-REPORT\.md|REPAIR-REPORT\.md|notebooklm/LLM-SAFETY-REPORT\.md|repair/.*)"),
+    ("archive", r"notebooklm/(?:book|document)\.md"),
+    ("visual-source", r"notebooklm/(?:book\.sanitized\.epub|document\.sanitized\.pdf|README\.md)"),
+    ("markdown", r"(?:book|document)\.md"),
+    ("chunks", r"(?:(?:chapters|pages|sections)/.*|OUTLINE\.md)"),
+    ("assets", r"(?:assets/.*|notebooklm/(?:FIGURE-INDEX\.md|document\.sanitized\.pdf))"),
+)
+
+
 def kept(path: Column, outputs: Column, profile: Column) -> Column:
     """Whether an output file belongs to a selection; reports always do."""
-    has = lambda x: F.array_contains(outputs, x)
-    always = path.isin("SECURITY-REPORT.md", "REPAIR-REPORT.md", "notebooklm/LLM-SAFETY-REPORT.md") | path.startswith("repair/")
-    return (
-        always
-        | ((profile == "archive") & path.isin("notebooklm/book.md", "notebooklm/document.md"))
-        | (has("visual-source") & path.isin("notebooklm/book.sanitized.epub", "notebooklm/document.sanitized.pdf", "notebooklm/README.md"))
-        | (has("markdown") & path.isin("book.md", "document.md"))
-        | (has("chunks") & (path.rlike("^(chapters|pages|sections)/") | (path == "OUTLINE.md")))
-        | (has("assets") & (path.startswith("assets/") | path.isin("notebooklm/FIGURE-INDEX.md", "notebooklm/document.sanitized.pdf")))
-    )
+    holds = {"*": F.lit(True), "archive": profile == "archive"}
+    out = F.lit(False)
+    for group, pattern in KEPT:
+        out = out | (holds.get(group, F.array_contains(outputs, group)) & path.rlike(f"^{pattern}$"))
+    return out
+
+
+def is_kept(path: str, outputs, profile: str) -> bool:
+    """``kept`` as a Python function."""
+    return any((group == "*" or group == profile == "archive" or group in outputs) and re.fullmatch(pattern, path) for group, pattern in KEPT)
+
+
+def is_titled(path: str, stem: str) -> str:
+    """``titled`` as a Python function."""
+    return TITLED[path].format(stem) if path in TITLED else path
+
+
+def media_of(path: str) -> str:
+    return MEDIA.get(path.rsplit(".", 1)[-1].lower(), "application/octet-stream")
+
+
+#: The order of characters before digits and letters in the root collation.
+_ORDER = {c: k for k, c in enumerate("_-,;:!?.'\"()[]{}@*/\\&#%`^+<=>|~$")}
+
+
+def collation_key(path: str) -> tuple:
+    """Order of paths as people read them: punctuation, digits, letters whatever their case; then accents, then small letters first."""
+    flat = unicodedata.normalize("NFD", path)
+    base = [c for c in flat if not unicodedata.combining(c)]
+    rank = lambda c: (0, _ORDER.get(c, -1), "") if not c.isalnum() else (1, 0, c) if c.isdigit() else (2, 0, c.casefold())
+    return [rank(c) for c in base], [c for c in flat if unicodedata.combining(c)], [c.isupper() for c in base], path
 
 
 #: Internal path and what the title's stem makes of it.
@@ -99,8 +134,3 @@ def render_scale(area: Column) -> Column:
 
 def jpeg_quality(pages: Column) -> Column:
     return F.when(pages <= 40, 0.96).when(pages <= 180, 0.94).otherwise(0.91)
-
-
-def upper_median(values: Column, default: float = 12.0) -> Column:
-    n = F.size(values)
-    return F.when(n == 0, F.lit(default)).otherwise(F.element_at(F.array_sort(values), (F.floor(n / 2) + 1).cast("int")))

@@ -15,6 +15,7 @@ MAX_PATH, MAX_SEGMENT = 1_024, 240
 MAX_WARNINGS, MAX_OUTLINE, MAX_BATCH, PREVIEW = 100, 500, 100, 8_000
 MAX_PASSWORD, MAX_REPAIRS, MAX_PACKAGES = 1_024, 100, 16
 SVG_DEPTH, SVG_NODES = 100, 50_000
+XML_DEPTH, TIMEOUT = 200, 120
 
 PROFILES = {"notebooklm": ("visual-source",), "rag": ("markdown", "chunks", "assets"), "markdown": ("markdown", "assets"), "archive": ("visual-source", "markdown", "chunks", "assets")}
 CODES = ("INVALID_DOCUMENT", "DAMAGED_ARCHIVE", "UNSUPPORTED_COMPRESSION", "AMBIGUOUS_REPAIR", "LIMIT_EXCEEDED", "UNSAFE_ARCHIVE", "UNSAFE_XML", "UNSUPPORTED_DOCUMENT", "PASSWORD_REQUIRED", "INCORRECT_PASSWORD", "CONVERSION_FAILED")

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .. import policy
+from ..functions import paths
 from ..policy import DocumentError
 
 _LOCAL, _CENTRAL = b"PK\x03\x04", b"PK\x01\x02"
@@ -110,35 +111,88 @@ def _locals(content: bytes):
         if begin + packed > len(content):
             cut = 1
             break
-        if not flags & 0x800 and not raw_name.isascii():
-            raise DocumentError("AMBIGUOUS_REPAIR", "a name's encoding is unknown")
-        try:
-            path = raw_name.decode("utf-8")
-        except UnicodeDecodeError as e:
-            raise DocumentError("AMBIGUOUS_REPAIR", "a name's encoding is unknown") from e
+        path = entry_text(raw_name, flags)
         name = gate.admit(path, size, packed)
-        data = inflate(content[begin : begin + packed], method, size)
-        if zlib.crc32(data) != crc:
-            raise DocumentError("DAMAGED_ARCHIVE", "an entry's checksum does not fit")
+        data = _verified(content[begin : begin + packed], method, size, crc)
         if not path.endswith("/"):
             out.append((name, data))
         at = begin + packed
     return out, cut, len(content) - at if not cut else 0
 
 
+def entry_text(raw: bytes, flags: int) -> str:
+    """An entry's name; without the UTF-8 flag only ASCII is certain."""
+    try:
+        return raw.decode("utf-8" if flags & 0x800 else "ascii")
+    except UnicodeDecodeError as e:
+        raise DocumentError("AMBIGUOUS_REPAIR", "a name's encoding is unknown") from e
+
+
+def _directory(content: bytes, start: int) -> list[tuple[str, bytes]] | None:
+    """Entries by the directory that begins at ``start``, each matched with its local header; None if it is not a whole directory."""
+    gate, at, out = Gate(), start, []
+    while content[at : at + 4] == _CENTRAL:
+        if at + 46 > len(content):
+            return None
+        flags, method, _, _, crc, packed, size, n, extra, comment, disk = struct.unpack_from("<HHHHIIIHHHH", content, at + 8)
+        (offset,) = struct.unpack_from("<I", content, at + 42)
+        if flags & 1 or disk or 0xFFFFFFFF in (packed, size, offset):
+            raise DocumentError("UNSUPPORTED_DOCUMENT", "encrypted, divided or ZIP64 archive")
+        name, after = content[at + 46 : at + 46 + n], at + 46 + n + extra + comment
+        if after > len(content) or content[offset : offset + 4] != _LOCAL or offset + 30 > len(content):
+            return None
+        own_flags, own_method = struct.unpack_from("<HH", content, offset + 6)
+        own_n, own_extra = struct.unpack_from("<HH", content, offset + 26)
+        begin = offset + 30 + own_n + own_extra
+        if (own_flags, own_method, content[offset + 30 : offset + 30 + own_n]) != (flags, method, name) or begin + packed > start:
+            return None
+        path = entry_text(name, flags)
+        safe = gate.admit(path, size, packed)
+        if not path.endswith("/"):
+            out.append((safe, _verified(content[begin : begin + packed], method, size, crc)))
+        at = after
+    whole = at == len(content) or content[at : at + 4] == b"PK\x05\x06"
+    return out if out and whole else None
+
+
+def _verified(raw: bytes, method: int, size: int, crc: int) -> bytes:
+    data = inflate(raw, method, size)
+    if zlib.crc32(data) != crc:
+        raise DocumentError("DAMAGED_ARCHIVE", "an entry's checksum does not fit")
+    return data
+
+
+def _by_directory(content: bytes) -> list[tuple[str, bytes]] | None:
+    at, tried = content.find(_CENTRAL), 0
+    while at >= 0:
+        tried += 1
+        if tried > 2 * policy.MAX_ENTRIES:
+            raise DocumentError("UNSAFE_ARCHIVE", "too many possible directories")
+        if (found := _directory(content, at)) is not None:
+            return found
+        at = content.find(_CENTRAL, at + 1)
+    return None
+
+
 def repaired(content: bytes) -> tuple[dict[str, bytes], dict]:
-    """Entries of a damaged archive, every one verified by size and CRC, and what was done."""
+    """Entries of a damaged archive, every one verified by size and CRC, and what was done: by a directory that is still whole, else by the local headers."""
     if content[:4] != _LOCAL:
         raise DocumentError("DAMAGED_ARCHIVE", "no entry at the start")
-    entries, cut, rest = _locals(content)
-    if not entries:
-        raise DocumentError("DAMAGED_ARCHIVE", "no entry can be verified")
-    actions = ["The central directory was rebuilt from verified local entries."]
-    if cut:
-        actions.append("An incomplete last entry was left out.")
-    elif rest and content[len(content) - rest :][:4] not in (_CENTRAL, b"PK\x05\x06"):
-        actions.append("Trailing bytes were removed.")
+    cut = 0
+    if found := _by_directory(content):
+        entries, actions = found, [f"The directory and its end were rebuilt from {len(found):,} verified entries."]
+    else:
+        entries, cut, rest = _locals(content)
+        if not entries:
+            raise DocumentError("DAMAGED_ARCHIVE", "no entry can be verified")
+        actions = [f"The archive was rebuilt from {len(entries):,} verified local entries."]
+        if cut:
+            actions.append("An incomplete last entry was left out.")
+        elif rest:
+            actions.append(f"{rest:,} trailing bytes were removed.")
     fixed = canonical(dict(entries))
+    if len(fixed) > policy.MAX_INPUT:
+        raise DocumentError("LIMIT_EXCEEDED", "the repaired archive is too large")
     return open_strict(fixed), {"level": "salvage" if cut else "automatic", "actions": actions, "original_bytes": len(content), "repaired_bytes": len(fixed), "omitted": cut}
 
 
@@ -146,7 +200,7 @@ def canonical(entries: dict[str, bytes]) -> bytes:
     """A deterministic archive: ``mimetype`` first and stored, the others sorted, level 6, one fixed date."""
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
-        for path in sorted(entries, key=lambda p: (p != "mimetype", p.casefold(), p)):
+        for path in sorted(entries, key=lambda p: (p != "mimetype", paths.collation_key(p))):
             info = zipfile.ZipInfo(path, FIXED_DATE)
             info.compress_type = zipfile.ZIP_STORED if path == "mimetype" else zipfile.ZIP_DEFLATED
             info.external_attr = 0o644 << 16
@@ -170,8 +224,8 @@ def entries(files: DataFrame) -> DataFrame:
                 try:
                     found, repair = open_recoverable(content.as_py() or b"")
                     rows = [(path, i, name, data, repair and repair["level"], None) for i, (name, data) in enumerate(found.items())]
-                except (DocumentError, Broken) as e:
-                    rows = [(path, None, None, None, None, getattr(e, "code", "DAMAGED_ARCHIVE"))]
+                except Exception as e:  # one bad file is one row
+                    rows = [(path, None, None, None, None, getattr(e, "code", "DAMAGED_ARCHIVE" if isinstance(e, Broken) else "CONVERSION_FAILED"))]
                 columns = list(zip(*rows, strict=True)) or [()] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.binary(), pa.string(), pa.string()), strict=True)], ["path", "entry_idx", "entry", "data", "repair", "error"])
 

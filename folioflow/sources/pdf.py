@@ -1,0 +1,274 @@
+"""A small reader for classic PDF files: objects, plain or deflated streams, simple fonts with ToUnicode maps or named differences, page geometry and outline.
+
+Encrypted files are ``PASSWORD_REQUIRED`` (no cipher is available here); other features that are not read are typed errors or warnings, never guesses.
+"""
+
+from __future__ import annotations
+
+import re
+import zlib
+
+from .. import policy
+from ..functions import text
+from ..operators import layout
+from ..policy import DocumentError
+
+_OBJECT = re.compile(rb"(?<!\d)(\d+)\s+\d+\s+obj\b(.*?)\bendobj", re.S)
+_TOKEN = re.compile(rb"\((?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*\)|<[0-9A-Fa-f\s]*>|\[|\]|<<|>>|/[^\s/\[\]()<>]+|[-+]?(?:\d+\.?\d*|\.\d+)|[A-Za-z'\"][A-Za-z*]*", re.S)
+_REF = re.compile(rb"(\d+)\s+\d+\s+R")
+_PLAIN = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+
+
+def raw_string(token: bytes) -> bytes:
+    if token[:1] == b"<":
+        digits = re.sub(rb"\s", b"", token[1:-1])
+        return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+    return re.sub(rb"\\([0-7]{1,3}|\r\n|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1].isdigit() else b"" if m[1] in (b"\n", b"\r", b"\r\n") else _PLAIN.get(m[1], m[1]), token[1:-1], flags=re.S)
+
+
+def text_string(token: bytes) -> str:
+    """A string outside pages: UTF-16 with its mark, else one byte a character."""
+    data = raw_string(token)
+    if data[:2] == b"\xfe\xff":
+        return data[2:].decode("utf-16-be", "replace")
+    return data.decode("utf-8-sig" if data[:3] == b"\xef\xbb\xbf" else "cp1252", "replace")
+
+
+class Font:
+    def __init__(self, pdf: Pdf, body: bytes):
+        self.wide = b"/Type0" in body
+        self.chars: dict[int, str] = {}
+        self.widths: dict[int, float] = {}
+        if m := re.search(rb"/ToUnicode\s+(\d+)\s+\d+\s+R", body):
+            self._cmap(pdf.stream(int(m[1])))
+        encoding = re.search(rb"/Encoding\s+(\d+)\s+\d+\s+R", body)
+        said = pdf.objects.get(int(encoding[1]), b"") if encoding else body
+        self.differences: dict[int, str] = {}
+        if m := re.search(rb"/Differences\s*\[(.*?)\]", said, re.S):
+            code = 0
+            for t in re.findall(rb"\d+|/[^\s/\]]+", m[1]):
+                if t[:1] == b"/":
+                    self.differences[code] = t[1:].decode("latin-1")
+                    code += 1
+                else:
+                    code = int(t)
+        first = re.search(rb"/FirstChar\s+(\d+)", body)
+        if first and (m := re.search(rb"/Widths\s*\[(.*?)\]", body, re.S)):
+            self.widths = {int(first[1]) + k: float(w) for k, w in enumerate(re.findall(rb"[\d.]+", m[1]))}
+
+    def _cmap(self, data: bytes) -> None:
+        read = lambda h: bytes.fromhex(h.decode()).decode("utf-16-be", "replace")
+        for part in re.findall(rb"beginbfchar(.*?)endbfchar", data, re.S):
+            for a, b in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]*)>", part):
+                self.chars[int(a, 16)] = read(b)
+        for part in re.findall(rb"beginbfrange(.*?)endbfrange", data, re.S):
+            for a, b, c in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", part):
+                lo, hi, base = int(a, 16), int(b, 16), read(c)
+                for k in range(lo, min(hi, lo + 0xFFFF) + 1):
+                    self.chars[k] = base[:-1] + chr(ord(base[-1]) + k - lo)
+
+    def decode(self, data: bytes) -> tuple[str, float]:
+        """Characters, and their width in units of the font size."""
+        codes = [int.from_bytes(data[k : k + 2], "big") for k in range(0, len(data), 2)] if self.wide else list(data)
+        said = "".join(self.chars.get(c) or (bytes([c]).decode("cp1252", "replace") if c < 256 and not self.wide else "\ufffd") for c in codes)
+        return said, sum(self.widths.get(c, 500.0) for c in codes) / 1000
+
+
+class Pdf:
+    def __init__(self, content: bytes):
+        if not content.startswith(b"%PDF-"):
+            raise DocumentError("INVALID_DOCUMENT", "not a PDF file")
+        if re.search(rb"/Encrypt\s+(?:\d+\s+\d+\s+R|<<)", content):
+            raise DocumentError("PASSWORD_REQUIRED", "the file is encrypted")
+        self.objects = {int(m[1]): m[2] for m in _OBJECT.finditer(content)}
+        if not self.objects:
+            raise DocumentError("UNSUPPORTED_DOCUMENT", "no readable objects")
+        self.content, self.fonts = content, {}
+        root = re.search(rb"/Root\s+(\d+)", content)
+        self.root = self.objects.get(int(root[1]), b"") if root else b""
+        tree = re.search(rb"/Pages\s+(\d+)", self.root)
+        self.order: list[int] = []
+        self.inherited: dict[int, list[bytes]] = {}
+        if tree:
+            self._pages(int(tree[1]), [], set())
+        if not self.order:
+            raise DocumentError("UNSUPPORTED_DOCUMENT", "no page tree")
+
+    def _pages(self, n: int, above: list[bytes], seen: set[int]) -> None:
+        body = self.objects.get(n, b"")
+        if len(above) > 50 or n in seen:
+            raise DocumentError("INVALID_DOCUMENT", "the page tree is too deep or turns back")
+        if re.search(rb"/Type\s*/Page(?![A-Za-z])", body):
+            self.order.append(n)
+            self.inherited[n] = [body, *reversed(above)]
+            if len(self.order) > policy.MAX_PDF_PAGES:
+                raise DocumentError("LIMIT_EXCEEDED", "too many pages")
+        elif kids := re.search(rb"/Kids\s*\[(.*?)\]", body, re.S):
+            for k in _REF.findall(kids[1]):
+                self._pages(int(k), [*above, body], seen | {n})
+
+    def stream(self, n: int, limit: int = policy.MAX_PDF_PAGE_TEXT * 8) -> bytes:
+        m = re.search(rb"stream\r?\n(.*?)\r?\n?endstream", self.objects.get(n, b""), re.S)
+        if not m:
+            return b""
+        head = self.objects[n][: m.start()]
+        if b"/FlateDecode" in head:
+            try:
+                return zlib.decompressobj().decompress(m[1], limit)
+            except zlib.error as e:
+                raise DocumentError("INVALID_DOCUMENT", "a stream is damaged") from e
+        if b"/Filter" in head:
+            raise DocumentError("UNSUPPORTED_DOCUMENT", "a stream filter is not supported")
+        return m[1]
+
+    def _inherit(self, n: int, pattern: bytes) -> re.Match | None:
+        return next((m for body in self.inherited[n] if (m := re.search(pattern, body, re.S))), None)
+
+    def size(self, n: int) -> tuple[float, float]:
+        box = self._inherit(n, rb"/MediaBox\s*\[(.*?)\]")
+        numbers = [float(x) for x in re.findall(rb"[-+]?[\d.]+", box[1])] if box else []
+        return (abs(numbers[2] - numbers[0]), abs(numbers[3] - numbers[1])) if len(numbers) == 4 else (612.0, 792.0)
+
+    def _fonts(self, n: int) -> dict[bytes, tuple[str, Font]]:
+        m = self._inherit(n, rb"/Resources\s+(\d+)\s+\d+\s+R")
+        bodies = ([self.objects.get(int(m[1]), b"")] if m else []) + self.inherited[n]
+        out: dict[bytes, tuple[str, Font]] = {}
+        for body in bodies:
+            part = re.search(rb"/Font\s*(?:<<(.*?)>>|(\d+)\s+\d+\s+R)", body, re.S)
+            listed = part[1] if part and part[1] is not None else self.objects.get(int(part[2]), b"") if part else b""
+            for name, ref in re.findall(rb"/([^\s/]+)\s+(\d+)\s+\d+\s+R", listed):
+                if int(ref) not in self.fonts:
+                    self.fonts[int(ref)] = Font(self, self.objects.get(int(ref), b""))
+                out.setdefault(name, (ref.decode(), self.fonts[int(ref)]))
+        return out
+
+    def items(self, n: int) -> list[dict]:
+        """Text of a page with its places: one item for each string shown."""
+        contents = re.search(rb"/Contents\s*(\[.*?\]|\d+\s+\d+\s+R)", self.objects[n], re.S)
+        data = b"\n".join(self.stream(int(i)) for i in _REF.findall(contents[1])) if contents else b""
+        fonts, out, stack = self._fonts(n), [], []
+        plain = Font(self, b"")
+        one: layout.Matrix = (1, 0, 0, 1, 0, 0)
+        space, saved = one, []
+        line = at = one
+        font, size, leading = ("", plain), 12.0, 0.0
+        numbers = lambda k: [x if isinstance(x, float) else 0.0 for x in stack[-k:]] if len(stack) >= k else [0.0] * k
+
+        def show(parts):
+            nonlocal at
+            said, width = "", 0.0
+            for p in parts:
+                if isinstance(p, float):
+                    width -= p / 1000
+                    said += " " if p < -200 and said and not said.endswith(" ") else ""
+                else:
+                    s, w = font[1].decode(p)
+                    said, width = said + s, width + w
+            m = layout.product(space, at)
+            up = (m[2] ** 2 + m[3] ** 2) ** 0.5 * size
+            wide = (m[0] ** 2 + m[1] ** 2) ** 0.5 * size
+            if said:
+                out.append({"str": said, "x": m[4], "y": m[5], "width": width * wide, "height": up, "font": font[0], "matrix": tuple(x * size for x in m[:4]) + m[4:]})
+            at = layout.product(at, (1, 0, 0, 1, width * size, 0))
+
+        def move(x, y):
+            nonlocal line, at
+            line = at = layout.product(line, (1, 0, 0, 1, x, y))
+
+        for m in _TOKEN.finditer(data):
+            t = m[0]
+            head = t[:1]
+            if head == b"(" or (head == b"<" and t != b"<<"):
+                stack.append(raw_string(t))
+            elif head == b"/":
+                stack.append(t)
+            elif head.isdigit() or head in b"+-.":
+                stack.append(float(t))
+            elif t in (b"[", b"]", b"<<", b">>"):
+                continue
+            else:
+                if t in (b"Tj", b"'", b'"', b"TJ"):
+                    if t in (b"'", b'"'):
+                        move(0, -leading)
+                    show([x for x in stack if isinstance(x, bytes) and x[:1] != b"/" or isinstance(x, float) and t == b"TJ"])
+                elif t == b"BT":
+                    line = at = one
+                elif t in (b"Td", b"TD"):
+                    x, y = numbers(2)
+                    leading = -y if t == b"TD" else leading
+                    move(x, y)
+                elif t == b"T*":
+                    move(0, -leading)
+                elif t == b"TL":
+                    leading = numbers(1)[0]
+                elif t == b"Tm":
+                    line = at = tuple(numbers(6))
+                elif t == b"Tf" and len(stack) >= 2 and isinstance(stack[-2], bytes):
+                    font, size = fonts.get(stack[-2][1:], ("", plain)), numbers(1)[0]
+                elif t == b"cm":
+                    space = layout.product(space, tuple(numbers(6)))
+                elif t == b"q":
+                    saved.append((space, font, size, leading))
+                elif t == b"Q" and saved:
+                    space, font, size, leading = saved.pop()
+                stack = []
+        return out
+
+    def repairs(self) -> dict[str, dict[str, str]]:
+        """By font, the characters whose code has a glyph name but no map."""
+        return {str(n): {c: new for c, new in layout.font_repairs(f.differences).items() if ord(c) not in f.chars} for n, f in self.fonts.items() if f.differences}
+
+    def info(self, key: str) -> str | None:
+        where = re.search(rb"/Info\s+(\d+)\s+\d+\s+R", self.content)
+        m = re.search(rb"/" + key.encode() + rb"\s*(\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]+>)", self.objects.get(int(where[1]), b"") if where else b"")
+        return (text.METADATA(text_string(m[1])) or None) if m else None
+
+    def outline(self) -> list[tuple[str, int]]:
+        """(title, page) in the order of pages, without repeats in a row; the first 500 entries in reading order of the tree."""
+        top = re.search(rb"/Outlines\s+(\d+)", self.root)
+        found: list[bytes] = []
+        todo = [int(top[1])] if top else []
+        todo = [int(m[1]) for n in todo if (m := re.search(rb"/First\s+(\d+)", self.objects.get(n, b"")))]
+        seen: set[int] = set()
+        while todo and len(found) < policy.MAX_OUTLINE:
+            n = todo.pop()
+            if n in seen:
+                continue
+            seen.add(n)
+            body = self.objects.get(n, b"")
+            found.append(body)
+            todo += [int(m[1]) for m in (re.search(rb"/Next\s+(\d+)", body), re.search(rb"/First\s+(\d+)", body)) if m]
+        number = {n: k for k, n in enumerate(self.order, 1)}
+        out = []
+        for body in found:
+            title = re.search(rb"/Title\s*(\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]+>)", body)
+            to = re.search(rb"/(?:Dest|D)\s*\[\s*(\d+)\s+\d+\s+R", body)
+            said = text.METADATA(text_string(title[1]), 300) if title else ""
+            if said and to and int(to[1]) in number:
+                out.append((said, number[int(to[1])]))
+        out.sort(key=lambda x: x[1])
+        return [x for k, x in enumerate(out) if k == 0 or x != out[k - 1]]
+
+
+def read(content: bytes) -> dict:
+    """Pages with text, geometry and outline."""
+    pdf = Pdf(content)
+    pages, total, glyphs, repaired_pages = [], 0, 0, 0
+    for k, n in enumerate(pdf.order, 1):
+        raw = pdf.items(n)
+        items, _, changed = layout.repaired_items(raw, pdf.repairs())
+        glyphs, repaired_pages = glyphs + changed, repaired_pages + bool(changed)
+        width, height = pdf.size(n)
+        page = layout.page_text(items, width)
+        size = len(page["plain"].encode())
+        total += size
+        if size > policy.MAX_PDF_PAGE_TEXT or total > policy.MAX_PDF_TEXT:
+            raise DocumentError("LIMIT_EXCEEDED", "too much text")
+        pages.append(page | {"number": k, "id": f"PAGE-{k:04d}", "width": width, "height": height, "items": items, "repaired": changed})
+    return {"title": pdf.info("Title"), "author": pdf.info("Author"), "pages": pages, "outline": pdf.outline(), "bytes": total, "glyphs": glyphs, "repaired_pages": repaired_pages}
+
+
+def sections(outline: list[tuple[str, int]], n_pages: int) -> list[tuple[int, str, int, int]]:
+    """(number, title, first page, last page); of several sections on one page only the last has pages, and numbers keep their gaps."""
+    ends = [p for _, p in outline[1:]] + [n_pages + 1]
+    return [(k, title, first, end - 1) for k, ((title, first), end) in enumerate(zip(outline, ends, strict=True), 1) if end > first]

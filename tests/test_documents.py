@@ -1,5 +1,6 @@
 import base64
 import io
+import random
 import struct
 import zipfile
 
@@ -38,10 +39,10 @@ def code(f, *a):
 def test_epub_units_and_active_content():
     d = ebooks.read_document(zipped(epub()), "a.epub")
     assert (d["title"], d["author"], d["language"], len(d["units"]), len(d["assets"])) == ("My Book", "A. Writer", "de", 1, 1)
-    assert "![Front](assets/FIG-0001-cover.png)" in d["units"][0][3]
+    assert "![Front](assets/FIG-0001-cover.png)" in d["units"][0]["raw"]
     bad = epub("<html><body><p>ok</p><script>evil()</script><a href='javascript:x'>go</a><img src='http://x.test/a.png'/> http://evil.test/</body></html>")
     d = ebooks.read_document(zipped(bad), "a.epub")
-    assert "evil" not in d["units"][0][3] and "[external URL removed]" in d["units"][0][3] and d["warnings"]
+    assert "evil" not in d["units"][0]["raw"] and "[external URL removed]" in d["units"][0]["raw"] and d["warnings"]
     assert code(ebooks.read_document, zipped(epub('<!DOCTYPE x [<!ENTITY a "b">]><html/>')), "a.epub") == "UNSAFE_XML"
 
 
@@ -65,24 +66,32 @@ def test_fb2_and_pdf():
     <body><section><title><p>One</p></title><p>Text <a l:href="#n1">1</a></p><image l:href="#pic"/><section><title><p>Inner</p></title><p>more</p></section></section></body><binary id="pic" content-type="image/png">{base64.b64encode(PNG).decode()}</binary></FictionBook>"""
     d = ebooks.read_document(book.encode(), "a.fb2")
     assert (d["title"], d["author"], len(d["assets"])) == ("T", "A B", 1)
-    assert d["units"][0][2] == "One" and "## Inner" in d["units"][0][3] and "(see note #n1)" in d["units"][0][3]
+    assert d["units"][0]["title"] == "One" and "## Inner" in d["units"][0]["raw"] and "(see note #n1)" in d["units"][0]["raw"]
     assert ebooks.read_document(zipped({"a.fb2": book}), "a.fb2.zip")["format"] == "fb2"
     assert code(ebooks.read_document, b'<!DOCTYPE x [<!ENTITY a "b">]><FictionBook/>', "a.fb2") == "UNSAFE_XML"
     pdf = b"%PDF-1.4\n1 0 obj<</Type/Catalog/Pages 2 0 R>>endobj\n2 0 obj<</Type/Pages/Kids[3 0 R 5 0 R]/Count 2>>endobj\n3 0 obj<</Type/Page/Parent 2 0 R/Contents 4 0 R>>endobj\n4 0 obj<</Length 9>>stream\nBT /F1 12 Tf 72 720 Td (Hello \\(you\\)) Tj 0 -22 Td (http://x.test/) Tj ET\nendstream endobj\n5 0 obj<</Type/Page/Parent 2 0 R>>endobj\ntrailer<</Root 1 0 R>>"
     units = ebooks.read_document(pdf, "a.pdf")["units"]
-    assert [u[2] for u in units] == ["PAGE-0001", "PAGE-0002"] and units[0][3] == "Hello (you)\n[external URL removed]" and units[1][3] == ""
-
-
-def test_random_bytes_are_typed_errors(spark):
-    rows = []
-    for seed in range(1, 65):
-        x, out = seed, bytearray()
-        for _ in range(32 + 7 * seed):
-            x = (x * 1664525 + 1013904223) % (1 << 32)
-            out.append(x & 255)
-        rows.append((f"{seed}.epub", out))
-    units = ebooks.units(spark.createDataFrame(rows, "path string, content binary")).collect()
-    assert len(units) == 64 and all(r.error in policy.CODES for r in units)
+    # addresses are neutralised before the brackets of all text are escaped
+    assert [u["title"] for u in units] == ["PAGE-0001", "PAGE-0002"] and units[0]["raw"] == "Hello (you)\n\n\\[external URL removed\\]" and units[1]["raw"] == ""
+
+
+def test_hostile_bytes_are_typed_errors(spark):
+    rng = random.Random(11)
+    book = zipped(epub())
+    rows = [(f"noise{k}.epub", rng.randbytes(rng.randint(1, 3000))) for k in range(40)]
+    for k in range(40):  # a real book with some bytes changed or cut off
+        b = bytearray(book)
+        for _ in range(rng.randint(1, 40)):
+            b[rng.randrange(len(b))] = rng.randrange(256)
+        rows.append((f"hurt{k}.epub", bytes(b[: rng.randint(4, len(b))])))
+    deep = "<a>" * 3000 + "</a>" * 3000
+    rows += [("deep.fb2", f"<FictionBook>{deep}</FictionBook>".encode()), ("odd.fb2", b"\xff\xfe<\0F\0x"), ("bad.fb2", b"\xef\xbb\xbf<FictionBook>\xff</FictionBook>"), ("empty.epub", b""), ("deep.epub", zipped(epub("<div>" * 3000 + "text")))]
+    units = ebooks.units(spark.createDataFrame([(p, bytearray(b)) for p, b in rows], "path string, content binary").repartition(3)).collect()
+    by_path = {r.path: r for r in units}
+    assert len(by_path) == len(rows) and all(r.error is None or r.error in policy.CODES for r in units)
+    assert all(by_path[f"noise{k}.epub"].error for k in range(40))
+    assert [by_path[p].error for p in ("deep.fb2", "odd.fb2", "bad.fb2", "empty.epub", "deep.epub")] == ["LIMIT_EXCEEDED", "INVALID_DOCUMENT", "INVALID_DOCUMENT", "INVALID_DOCUMENT", None]
+    assert by_path["deep.epub"].markdown == "text"
 
 
 def test_html_structure():
