@@ -96,8 +96,9 @@ def grouped(column: pa.Array, word_bytes: Callable[[np.ndarray], np.ndarray]) ->
         i = j
 
 
-#: Of each place in a gram, the factor of the word's hash there; from a rule: odd multiples of the base.
-_PLACE = [_U(_BASE * (2 * j + 1) & 0xFFFFFFFFFFFFFFFF) for j in range(64)]
+#: Of each place in a gram, the factor of the word's hash there; from a rule: odd and mixed, so that no sums of a few of them agree, as a gram may
+#: hold the same word in several places.
+_PLACE = mix(np.arange(1, 65, dtype=_U) * _U(_BASE)) | _U(1)
 
 
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:

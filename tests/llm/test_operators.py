@@ -35,6 +35,7 @@ def corpus():
     texts += [None, "", "   \n", "one", "One", "ÉÉ b c", base[0], base[0], prose(rng, 6000), "x " * 300]
     passage = prose(rng, 45)
     texts += [prose(rng, k) + " " + passage for k in range(2, 40)]
+    texts += [" ".join(rng.choice("ab") for _ in range(400)) for _ in range(6)]  # few words, in all orders
     rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (3, "other text under a repeated id"), (None, "text without id")]
     return [(i, t, None, f"src{len(t or '') % 3}" if i != 5 else None, None, "clash", "clash") for i, t in rows]
 
