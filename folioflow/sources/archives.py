@@ -130,7 +130,7 @@ def entry_text(raw: bytes, flags: int) -> str:
 
 def _directory(content: bytes, start: int) -> list[tuple[str, bytes]] | None:
     """Entries by the directory that begins at ``start``, each matched with its local header; None if it is not a whole directory."""
-    gate, at, out = Gate(), start, []
+    gate, at, out, data_end = Gate(), start, [], 0
     while content[at : at + 4] == _CENTRAL:
         if at + 46 > len(content):
             return None
@@ -146,12 +146,14 @@ def _directory(content: bytes, start: int) -> list[tuple[str, bytes]] | None:
         begin = offset + 30 + own_n + own_extra
         if (own_flags, own_method, content[offset + 30 : offset + 30 + own_n]) != (flags, method, name) or begin + packed > start:
             return None
+        data_end = max(data_end, begin + packed)
         path = entry_text(name, flags)
         safe = gate.admit(path, size, packed)
         if not path.endswith("/"):
             out.append((safe, _verified(content[begin : begin + packed], method, size, crc)))
         at = after
-    whole = at == len(content) or content[at : at + 4] == b"PK\x05\x06"
+    # a directory follows its data, but for a last descriptor; what begins later is the rest of one and would lose entries
+    whole = (at == len(content) or content[at : at + 4] == b"PK\x05\x06") and start - data_end <= 24
     return out if out and whole else None
 
 
@@ -208,6 +210,15 @@ def canonical(entries: dict[str, bytes]) -> bytes:
     return out.getvalue()
 
 
+def stored(entries: dict[str, bytes]) -> bytes:
+    """An archive of archives: members as they are, in the order given."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+        for path, data in entries.items():
+            z.writestr(zipfile.ZipInfo(path, FIXED_DATE), data)
+    return out.getvalue()
+
+
 def open_recoverable(content: bytes) -> tuple[dict[str, bytes], dict | None]:
     try:
         return open_strict(content), None
