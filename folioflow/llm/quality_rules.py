@@ -1,12 +1,14 @@
 """Quality rules: hashed n-gram log-likelihood ratio between a trusted target and the raw corpus.
 
-Words and pairs of neighbouring words are hashed into ``BUCKETS`` buckets. Two multinomials are counted over
+Words and pairs of neighbouring words are hashed into buckets, whose number follows the size of the texts: a bucket for each
+``TEXT_BYTES`` of them, ``BUCKETS`` at least, so that it stands for much the same number of n-grams at every size; beyond 64 GB of text (``MOST_BUCKETS``) it
+stands for more. Two multinomials are counted over
 all texts: the raw corpus, and the trusted target among it (texts that a label calls good; without any label, texts
 that pass the base rules). A text's score is the mean over its n-grams of log p_target - log p_raw, both
 smoothed by ``SMOOTHING`` counts a bucket; it is kept if the score is at least ``LEAST`` and no base rule fails.
 
 Everything is DataFrame functions. Counting explodes hashes only and aggregates before its one shuffle, of at
-most ``BUCKETS`` rows from each task; the resulting weights (a constant number) become a literal of the scoring
+most a row a bucket from each task; the resulting weights (32 MB at most) become a literal of the scoring
 expression, which works within each row, and no group gathers in a task.
 
 Base counts of a text: ``n_words``; ``word_chars`` (code points in words); ``n_symbols`` (of ``[#*$%&|<>]``);
@@ -23,14 +25,13 @@ only case in which texts are shuffled.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, small, unused
+from .common import cut, only, small, unused
 
 BUCKETS, SMOOTHING, LEAST = 1 << 14, 1.0, -0.05
+TEXT_BYTES, MOST_BUCKETS = 1 << 14, 1 << 22
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr", "base_failed", "kept")
 
@@ -110,8 +111,15 @@ def failed(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEAT_PERCENT * n_words)
 
 
-def weights(docs: DataFrame, good: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> list[float]:
+def buckets_for(docs: DataFrame, text_col: str = "text") -> int:
+    """A power of two that follows the texts, ``TEXT_BYTES`` of them a bucket, from ``BUCKETS`` to ``MOST_BUCKETS``."""
+    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")).cast("long"))).first()[0] or 0
+    return min(MOST_BUCKETS, max(BUCKETS, 1 << (size // TEXT_BYTES).bit_length()))
+
+
+def weights(docs: DataFrame, good: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> list[float]:
     """log p_target - log p_raw of each bucket; ``good`` has the ids of trusted texts in ``id_col``."""
+    buckets = buckets or buckets_for(docs, text_col)
     rows = only(docs, id_col, text_col).toDF("id", "text")
     rows = rows.select("id", word_hashes(F.col("text")).alias("h")).withColumn("p", pair_hashes(F.col("h")))
     if good is not None and not good.isEmpty():
@@ -121,19 +129,18 @@ def weights(docs: DataFrame, good: DataFrame | None, id_col: str = "doc_id", tex
     else:
         trusted = rows.where(~failed(F.size("h"), repeat_words(F.col("h"), F.col("p"))))
 
-    def counts(part: DataFrame) -> list[int]:
-        grams = part.select(F.explode(F.concat("h", "p")).alias("g")).groupBy(F.col("g").bitwiseAND(buckets - 1).cast("int").alias("b")).count()
-        out = [0] * buckets
-        for r in grams.collect():  # at most ``buckets`` rows
-            out[r.b] = r["count"]
-        return out
+    def counts(part: DataFrame, name: str) -> tuple[DataFrame, int]:
+        grams = part.select(F.explode(F.concat("h", "p")).alias("g")).groupBy(F.col("g").bitwiseAND(buckets - 1).cast("int").alias("b")).agg(F.count("*").alias(name))
+        found = cut(grams)  # at most ``buckets`` rows
+        return found, found.agg(F.sum(name)).first()[0] or 0
 
-    raw, target = counts(rows), counts(trusted)
-    n_raw, n_target = sum(raw), sum(target)
+    (raw, n_raw), (target, n_target) = counts(rows, "raw"), counts(trusted, "target")
     if not n_raw or not n_target:
         return [0.0] * buckets
-    of = lambda n, total: math.log((n + SMOOTHING) / (total + SMOOTHING * buckets))
-    return [round(of(t, n_target) - of(r, n_raw), 6) for t, r in zip(target, raw, strict=True)]
+    share = lambda n, total: F.log((F.coalesce(n, F.lit(0)) + SMOOTHING) / (total + SMOOTHING * buckets))
+    every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b")).join(raw, "b", "left").join(target, "b", "left")
+    every = every.select("b", F.round(share(F.col("target"), n_target) - share(F.col("raw"), n_raw), 6).alias("w"))
+    return every.agg(F.sort_array(F.collect_list(F.struct("b", "w"))).alias("all")).select(F.col("all.w")).first()[0]
 
 
 def _llr(weight: list[float], h: Column, pairs: Column) -> Column:
