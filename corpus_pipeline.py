@@ -7,7 +7,11 @@ gives the reread table to the next. All stages but the last keep the columns of
 2. quality classifier: texts whose lines are likelier bad go (trained on the labelled rows of the raw table);
 3. n-gram Jaccard join: one text of each group of near copies stays;
 4. benchmark decontamination: texts with a benchmark passage go;
-5. best-fit packing: what is left is packed into bins.
+5. best-fit packing: what is left is packed into bins; near copies have gone, so texts that differ in case or white space only are its clusters.
+
+Defined results: null, empty and blank texts fail the first stage. Of repeated rows one stays in the third stage, as of near copies; repeated ids with
+different texts are documents of their own. Columns besides id, text and source are carried through the filters and not read. Nulls in other columns change nothing, and
+an empty table gives an empty result. Without labels, texts that pass the base rules are the trusted target and no classifier is learnt: all texts pass it.
 """
 
 from __future__ import annotations
