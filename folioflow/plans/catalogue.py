@@ -37,13 +37,24 @@ def documents(spark, sf_dir):
     return table(spark, sf_dir, "documents")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores where a small table has fewer files than that; larger tables stay as they are."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n, key)
+
+
+def texts(spark, sf_dir):
+    """Documents for work that is heavy for each text."""
+    return spread(documents(spark, sf_dir).select("doc_id", "text"), "doc_id")
+
+
 def hostile():
     return F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(HOSTILE))).otherwise(F.col("text"))
 
 
 def _text_query(name: str, function: text.Text) -> None:
     """A text function over all documents."""
-    _QUERIES[name] = lambda spark, d: documents(spark, d).select("doc_id", function.column(hostile()).alias("value"))
+    _QUERIES[name] = lambda spark, d: texts(spark, d).select("doc_id", function.column(hostile()).alias("value"))
     _SQL[name] = f"SELECT doc_id, {function.sql(HOSTILE_SQL)} AS value FROM documents"
 
 
@@ -53,17 +64,17 @@ for _name, _function in {"escape_inline": text.ESCAPE_INLINE, "escape_label": te
 
 @query(f"SELECT doc_id, CASE WHEN c = '' THEN '-' ELSE c END AS cell FROM (SELECT doc_id, regexp_replace({text.ESCAPE_INLINE.sql(HOSTILE_SQL)}, '(\\|)', '\\\\\\1', 'g') AS c FROM documents)")
 def table_cell(spark, d):
-    return documents(spark, d).select("doc_id", text.table_cell(hostile()).alias("cell"))
+    return texts(spark, d).select("doc_id", text.table_cell(hostile()).alias("cell"))
 
 
 @query(f"SELECT doc_id, regexp_replace(lower({text.HEADING.sql(HOSTILE_SQL)}), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS heading FROM documents")
 def heading_key(spark, d):
-    return documents(spark, d).select("doc_id", text.heading_key(hostile()).alias("heading"))
+    return texts(spark, d).select("doc_id", text.heading_key(hostile()).alias("heading"))
 
 
 @query("SELECT doc_id, array_to_string([rtrim('> ' || x, ' ') for x in string_split(text, chr(10))], chr(10)) AS quoted FROM documents")
 def quote_lines(spark, d):
-    return documents(spark, d).select("doc_id", text.quote_lines(F.col("text")).alias("quoted"))
+    return texts(spark, d).select("doc_id", text.quote_lines(F.col("text")).alias("quoted"))
 
 
 @query(f"SELECT page_id, CASE WHEN c = '' THEN 'document' ELSE c END AS name FROM (SELECT page_id, {text.OUTPUT_NAME.sql('url')} AS c FROM pages)")
@@ -272,7 +283,7 @@ _SCAN_TEXT = f"CASE WHEN doc_id % 11 = 0 THEN text || {text.quoted(INJECTED)} EL
 def instruction_scan(spark, d):
     body = F.when(F.col("doc_id") % 11 == 0, F.concat("text", F.lit(INJECTED))).otherwise(F.col("text"))
     hits = F.array_compact(F.array(*[F.when(hit, category) for category, hit in text.findings(body)]))
-    return documents(spark, d).select(F.explode(hits).alias("category")).groupBy("category").agg(F.count("*").alias("findings"))
+    return texts(spark, d).select(F.explode(hits).alias("category")).groupBy("category").agg(F.count("*").alias("findings"))
 
 
 OUTPUT_PATHS = ["book.md", "notebooklm/book.md", "notebooklm/README.md", "notebooklm/FIGURE-INDEX.md", "notebooklm/LLM-SAFETY-REPORT.md", "notebooklm/book.sanitized.epub", "notebooklm/document.sanitized.pdf", "SECURITY-REPORT.md", "REPAIR-REPORT.md", "repair/source.repaired.epub", "chapters/CHAPTER-001.md", "pages/PAGE-0001.md", "sections/001.md", "OUTLINE.md", "assets/FIG-0001-a.png"]
@@ -345,7 +356,7 @@ def line_segments(spark, d):
 
 @query()
 def html_to_markdown(spark, d):
-    return html.units(table(spark, d, "pages"), "page_id", "html")
+    return html.units(spread(table(spark, d, "pages").select("page_id", "html"), "page_id"), "page_id", "html")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from ..functions import paths, text
 from ..operators import figures, html, layout, svg
 from ..sources import archives, ebooks
 from . import refine
-from .catalogue import documents, query, table
+from .catalogue import documents, query, spread, table, texts
 
 WORDS_SQL = r"len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0b\x0c\r]+'))"
 
@@ -57,13 +57,13 @@ _DATA = "CASE entry WHEN 'mimetype' THEN 'application/epub+zip' WHEN 'a.txt' THE
 
 @query(f"SELECT doc_id, entry, octet_length(encode({_DATA})) AS bytes, sha256({_DATA}) AS sha256 FROM {_ENTRIES}")
 def zip_roundtrip(spark, d):
-    found = archives.entries(made(documents(spark, d), "zip", archive_of))
+    found = archives.entries(made(texts(spark, d), "zip", archive_of))
     return found.select(doc_id(), "entry", F.octet_length("data").cast("long").alias("bytes"), F.sha2("data", 256).alias("sha256"))
 
 
 @query("SELECT doc_id, CAST(CASE WHEN doc_id % 3 = 2 THEN 2 ELSE 3 END AS BIGINT) AS entries, CASE doc_id % 3 WHEN 1 THEN 'automatic' WHEN 2 THEN 'salvage' END AS repair, CAST(20 + octet_length(encode(coalesce(text, ''))) + CASE WHEN doc_id % 3 = 2 THEN 0 ELSE 14 END AS BIGINT) AS bytes FROM documents")
 def zip_repair(spark, d):
-    found = archives.entries(made(documents(spark, d), "zip", hurt_archive_of))
+    found = archives.entries(made(texts(spark, d), "zip", hurt_archive_of))
     return found.groupBy("path").agg(F.count("entry").alias("entries"), F.first("repair").alias("repair"), F.sum(F.octet_length("data")).cast("long").alias("bytes")).select(doc_id(), "entries", "repair", "bytes")
 
 
@@ -78,7 +78,7 @@ def epub_of(i: int, said: str) -> bytes:
 
 @query(f"SELECT doc_id, CAST(1 AS BIGINT) AS seq, 'Contents' AS title, false AS canonical, CAST(6 AS BIGINT) AS words FROM documents UNION ALL SELECT doc_id, 3, 'Doc ' || doc_id, true, {WORDS_SQL} + 3 FROM documents")
 def epub_units(spark, d):
-    found = ebooks.units(made(documents(spark, d), "epub", epub_of))
+    found = ebooks.units(made(texts(spark, d), "epub", epub_of))
     return found.select(doc_id(), "seq", "title", "canonical", words("markdown").alias("words"))
 
 
@@ -90,7 +90,7 @@ def fb2_of(i: int, said: str) -> bytes:
 
 @query(f"SELECT doc_id, CAST(1 AS BIGINT) AS seq, 'Doc ' || doc_id AS title, {WORDS_SQL} + 3 AS words FROM documents UNION ALL SELECT doc_id, 2, 'Section 2', 1 FROM documents")
 def fb2_units(spark, d):
-    found = ebooks.units(made(documents(spark, d), "fb2", fb2_of))
+    found = ebooks.units(made(texts(spark, d), "fb2", fb2_of))
     return found.select(doc_id(), "seq", "title", words("markdown").alias("words"))
 
 
@@ -109,7 +109,7 @@ _LETTERS = r"[ \t\n\x0b\x0c\r\\-]"
 
 @query(f"SELECT doc_id, seq, 'PAGE-000' || seq AS title, CASE seq WHEN 1 THEN length(regexp_replace(coalesce(text, ''), '{_LETTERS}', '', 'g')) ELSE 0 END AS letters FROM (SELECT doc_id, text, unnest([CAST(1 AS BIGINT), 2]) AS seq FROM documents)")
 def pdf_pages(spark, d):
-    found = ebooks.units(made(documents(spark, d), "pdf", pdf_of))
+    found = ebooks.units(made(texts(spark, d), "pdf", pdf_of))
     # entities and placeholders are what the text becomes in Markdown
     shown = F.regexp_replace(F.replace(F.replace("markdown", F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), _LETTERS, "")
     return found.select(doc_id(), "seq", "title", F.length(shown).cast("long").alias("letters"))
@@ -117,25 +117,25 @@ def pdf_pages(spark, d):
 
 @query(f"SELECT doc_id, CAST(2 AS BIGINT) AS units, 'Doc ' || doc_id AS title, CASE WHEN {WORDS_SQL} = 0 THEN 'none' ELSE 'partial' END AS coverage, CAST(CASE WHEN {WORDS_SQL} = 0 THEN 2 ELSE 1 END AS BIGINT) AS image_only_pages, CAST(1347 * 1743 AS BIGINT) * CASE WHEN {WORDS_SQL} = 0 THEN 2 ELSE 1 END AS ocr_pixels FROM documents")
 def pdf_preflight(spark, d):
-    found = refine.inspect(made(documents(spark, d), "pdf", pdf_of))
+    found = refine.inspect(made(texts(spark, d), "pdf", pdf_of))
     return found.select(doc_id(), "units", "title", "coverage", "image_only_pages", "ocr_pixels")
 
 
 @query("SELECT doc_id, 'epub' AS format, CAST(2 AS BIGINT) AS units, CAST(1 AS BIGINT) AS graphics, 'automatic' AS repair, 'Author ' || doc_id % 7 AS author FROM documents")
 def epub_preflight(spark, d):
-    found = refine.inspect(made(documents(spark, d), "epub", epub_of))
+    found = refine.inspect(made(texts(spark, d), "epub", epub_of))
     return found.select(doc_id(), "format", "units", "graphics", F.col("repair.level").alias("repair"), "author")
 
 
 @query("SELECT doc_id, file, media_type, place FROM (SELECT doc_id, unnest(['assets/FIG-0001-p.png', 'chapters/001-Contents.md', 'chapters/003-Doc ' || doc_id || '.md', 'Doc ' || doc_id || '.md', 'Doc ' || doc_id || '.repair-report.md', 'Doc ' || doc_id || '.security-report.md', 'notebooklm/Doc ' || doc_id || '.figure-index.md', 'notebooklm/Doc ' || doc_id || '.llm-safety-report.md']) AS file, unnest(['image/png', 'text/markdown', 'text/markdown', 'text/markdown', 'text/markdown', 'text/markdown', 'text/markdown', 'text/markdown']) AS media_type, unnest([CAST(1 AS BIGINT), 2, 3, 4, 5, 6, 7, 8]) AS place FROM documents)")
 def bundle_manifest(spark, d):
-    found = refine.manifest(refine.outputs(made(documents(spark, d), "epub", epub_of), profile="rag"))
+    found = refine.manifest(refine.outputs(made(texts(spark, d), "epub", epub_of), profile="rag"))
     return found.select(doc_id(), "file", "media_type", "place")
 
 
 @query("SELECT doc_id, 'Doc ' || doc_id || '-rag.zip' AS filename, CAST(2 AS BIGINT) AS units, CAST(1 AS BIGINT) AS assets, CAST(8 AS BIGINT) AS files, true AS listed FROM documents")
 def bundle(spark, d):
-    found = refine.bundles(made(documents(spark, d), "epub", epub_of), profile="rag")
+    found = refine.bundles(made(texts(spark, d), "epub", epub_of), profile="rag")
     return found.select(doc_id(), "filename", "units", "assets", F.size("files").cast("long").alias("files"), (F.get_json_object("manifest", "$.output.files[7].sha256") == F.col("files")[7]["sha256"]).alias("listed"))
 
 
@@ -150,7 +150,7 @@ def svg_sanitize(spark, d):
 @query("SELECT doc_id, CAST(len([x for x in string_split(coalesce(text, ''), chr(10)) if regexp_matches(x, '[^ \\t\\x0b\\x0c\\r]')]) AS BIGINT) AS lines, CAST(1 AS BIGINT) AS columns, CAST(0 AS BIGINT) AS headings FROM documents")
 def page_layout(spark, d):
     items = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, k: F.struct(x.alias("str"), F.lit(50.0).alias("x"), (-12.0 * k).alias("y"), F.lit(400.0).alias("width"), F.lit(10.0).alias("height")))
-    return layout.pages(documents(spark, d).select("doc_id", items.alias("items"), F.lit(600.0).alias("wide")), "doc_id", "items", "wide").select("doc_id", "lines", "columns", "headings")
+    return layout.pages(texts(spark, d).select("doc_id", items.alias("items"), F.lit(600.0).alias("wide")), "doc_id", "items", "wide").select("doc_id", "lines", "columns", "headings")
 
 
 # Figures: each document has two assets; its text shows the first one, and odd ones show it twice.
@@ -242,5 +242,5 @@ def _visible_sql() -> str:
 @query(f"SELECT page_id, {_visible_sql()} AS letters FROM pages")
 def html_letters(spark, d):
     """All letters and digits of real pages, in order: nothing visible is lost, nothing hidden comes in."""
-    found = html.units(table(spark, d, "pages"), "page_id", "html").select("page_id", F.replace(F.replace("markdown", F.lit("&lt;"), F.lit(" ")), F.lit("&gt;"), F.lit(" ")).alias("shown"))
+    found = html.units(spread(table(spark, d, "pages").select("page_id", "html"), "page_id"), "page_id", "html").select("page_id", F.replace(F.replace("markdown", F.lit("&lt;"), F.lit(" ")), F.lit("&gt;"), F.lit(" ")).alias("shown"))
     return found.select("page_id", F.regexp_replace(F.regexp_replace("shown", r"!?\[Image removed: Image\]", ""), r"[^\p{L}\p{N}]+", "").alias("letters"))
