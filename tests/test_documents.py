@@ -3,6 +3,7 @@ import io
 import random
 import struct
 import zipfile
+import zlib
 
 import duckdb
 import pytest
@@ -11,7 +12,7 @@ from folioflow import policy
 from folioflow.functions import text
 from folioflow.operators.html import to_markdown
 from folioflow.plans import catalogue
-from folioflow.sources import archives, ebooks
+from folioflow.sources import archives, ebooks, pdf
 
 PNG = b"\x89PNG\r\n\x1a\n"
 SF = "/root/testdata/sf0.001"
@@ -69,12 +70,45 @@ def test_fb2_and_pdf():
     assert d["units"][0]["title"] == "One" and "## Inner" in d["units"][0]["raw"] and "(see note #n1)" in d["units"][0]["raw"]
     assert ebooks.read_document(zipped({"a.fb2": book}), "a.fb2.zip")["format"] == "fb2"
     assert code(ebooks.read_document, b'<!DOCTYPE x [<!ENTITY a "b">]><FictionBook/>', "a.fb2") == "UNSAFE_XML"
-    pdf = b"%PDF-1.4\n1 0 obj<</Type/Catalog/Pages 2 0 R>>endobj\n2 0 obj<</Type/Pages/Kids[3 0 R 5 0 R]/Count 2>>endobj\n3 0 obj<</Type/Page/Parent 2 0 R/Contents 4 0 R>>endobj\n4 0 obj<</Length 9>>stream\nBT /F1 12 Tf 72 720 Td (Hello \\(you\\)) Tj 0 -22 Td (http://x.test/) Tj ET\nendstream endobj\n5 0 obj<</Type/Page/Parent 2 0 R>>endobj\ntrailer<</Root 1 0 R>>"
-    units = ebooks.read_document(pdf, "a.pdf")["units"]
+    paper = b"%PDF-1.4\n1 0 obj<</Type/Catalog/Pages 2 0 R>>endobj\n2 0 obj<</Type/Pages/Kids[3 0 R 5 0 R]/Count 2>>endobj\n3 0 obj<</Type/Page/Parent 2 0 R/Contents 4 0 R>>endobj\n4 0 obj<</Length 9>>stream\nBT /F1 12 Tf 72 720 Td (Hello \\(you\\)) Tj 0 -22 Td (http://x.test/) Tj ET\nendstream endobj\n5 0 obj<</Type/Page/Parent 2 0 R>>endobj\ntrailer<</Root 1 0 R>>"
+    units = ebooks.read_document(paper, "a.pdf")["units"]
     # addresses are neutralised before the brackets of all text are escaped
     assert [u["title"] for u in units] == ["PAGE-0001", "PAGE-0002"] and units[0]["raw"] == "Hello (you)\n\n\\[external URL removed\\]" and units[1]["raw"] == ""
 
 
+def packed_pdf(how="flate", more=b"", form=b"BT /F 12 Tf 72 500 Td (within a form) Tj ET"):
+    """A file whose catalogue, page tree and page lie in an object stream, with an inline image and a form object."""
+    inner = [b"<</Type/Catalog/Pages 2 0 R>>", b"<</Type/Pages/Kids 8 0 R/Count 1>>", b"<</Type/Page/Parent 2 0 R/Contents 9 0 R/Resources<</XObject<</X 6 0 R>>>>>>", b"[3 0 R]", b"[4 0 R 5 0 R]"]
+    starts = [sum(len(x) + 1 for x in inner[:k]) for k in range(len(inner))]
+    table = b" ".join(b"%d %d" % x for x in zip((1, 2, 3, 8, 9), starts, strict=True)) + b" "
+    data = table + b"\n".join(inner)
+    if how == "rows":  # PNG row filters: each row as its difference from the row above
+        rows = [data[k : k + 16].ljust(16) for k in range(0, len(data), 16)]
+        data = b"".join(b"\2" + bytes(a - b & 255 for a, b in zip(r, q, strict=True)) for r, q in zip(rows, [bytes(16), *rows], strict=False))
+    body = zlib.compress(data)
+    kind = {"flate": b"/FlateDecode", "hex": b"[/ASCIIHexDecode /FlateDecode]", "85": b"[/A85 /Fl]", "rows": b"/FlateDecode/DecodeParms<</Predictor 12/Columns 16>>", "other": b"/CryptDecode"}[how]
+    body = {"hex": lambda b: b.hex().encode() + b">", "85": lambda b: base64.a85encode(b) + b"~>"}.get(how, lambda b: b)(body)
+    return b"".join([
+        b"%PDF-1.5\n7 0 obj<</Type/ObjStm/N 5/First ", b"%d" % len(table), b"/Filter", kind, b">>stream\n", body, b"\nendstream endobj\n",
+        b"4 0 obj<<>>stream\nq BI /W 1 /H 1 ID (no) Tj EI Q BT /F 12 Tf 72 700 Td (first) Tj ET\nendstream endobj\n",
+        b"5 0 obj<<>>stream\nBT /F 12 Tf 72 600 Td (second) Tj ET q 1 0 0 1 0 -100 cm /X Do Q\nendstream endobj\n",
+        b"6 0 obj<</Type/XObject/Subtype/Form/Matrix[1 0 0 1 10 0]>>stream\n", form, b"\nendstream endobj\n", more, b"10 0 obj<</Type/XRef/Root 1 0 R>>endobj",
+    ])
+
+
+def test_packed_objects_filters_and_forms():
+    for how in ("flate", "hex", "85", "rows"):
+        (page,) = pdf.read(packed_pdf(how))["pages"]
+        assert [(i["str"], i["x"], i["y"]) for i in page["items"]] == [("first", 72, 700), ("second", 72, 600), ("within a form", 82, 400)], how
+    # an appended object replaces the packed one; a form that draws itself and a filter that is not known are typed
+    assert pdf.read(packed_pdf(more=b"9 0 obj[5 0 R]endobj\n"))["pages"][0]["items"][0]["str"] == "second"
+    assert code(pdf.read, packed_pdf(form=b"/X Do")) == "INVALID_DOCUMENT"
+    assert code(pdf.read, packed_pdf("other")) == "UNSUPPORTED_DOCUMENT"
+    small = policy.MAX_PDF_PAGE_TEXT * 8
+    assert code(pdf._inflated, zlib.compress(bytes(small + 1)), small) == "LIMIT_EXCEEDED" and len(pdf._inflated(zlib.compress(bytes(small)), small)) == small
+    assert pdf._from_runs(b"\2abc\xfex\x80zz", 99) == b"abcxxx"
+
+
 def test_hostile_bytes_are_typed_errors(spark):
     rng = random.Random(11)
     book = zipped(epub())
