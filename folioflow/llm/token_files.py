@@ -5,7 +5,10 @@ A dataset is a folder in which each row is a segment: ``part`` and ``seq`` (its
 start at any segment). Spark commits the files, so an executor's loss leaves no half-written part.
 
 ``ordered`` range-partitions the texts by document id before anything is computed from them, so bounds are drawn from ids alone, each text is tokenised
-once, and ids are coded where they arise. Parts and segments are of bounded size, only their sums are added up across parts.
+once, and ids are coded where they arise, by ``token_kernel``. Parts and segments are of bounded size, only their sums are added up across parts.
+
+Of a text, each word with the blank before it is looked up among at most ``KNOWN`` words that the library has encoded, and is else given to the library: with
+a byte-level tokenizer no token crosses such a border (``by_words`` says which tokenizers that holds for; the others get whole texts).
 
 Defined results: a null or empty text has only the end id. Documents with equal ids are in the order of a hash of their texts, so that an id of a third of all rows
 spreads over parts; equal rows are in any order, which nothing shows. Null ids come first. Ids may be of any type that Spark orders. A special token's string
@@ -15,7 +18,9 @@ without documents is a folder without rows.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 
 import numpy as np
@@ -25,10 +30,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
+from . import token_kernel
 from .common import only, small
-from .token_coder import BLOCK, LANES, decode_blocks, encode_blocks
+from .token_coder import BLOCK, LANES
 
 SEGMENT = BLOCK * LANES  #: ids of a segment, or one document more
+KNOWN, LONG = 1 << 17, 64  #: words held by a task, and characters of the longest of them
+_BORDER = re.compile(r" (?=\S)")
 
 
 def ordered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -39,6 +47,39 @@ def ordered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys[:2])
 
 
+def by_words(model: str) -> bool:
+    """Whether the tokenizer (its JSON) encodes a text as the sum of what lies between blanks that a character other than white space follows:
+    its pattern joins such a blank to that character, and a run of white space gives its last blank up to it."""
+    j = json.loads(model)
+    plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    added = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) and not re.search(r"\s", t["content"]) for t in j["added_tokens"])
+    pre = {k: v for k, v in (j["pre_tokenizer"] or {}).items() if k != "trim_offsets"}
+    return added and pre == plain and j["model"].get("type") == "BPE" and not j["model"].get("dropout") and not any(j.get(k) for k in ("normalizer", "post_processor", "truncation", "padding"))
+
+
+class _Words:
+    """Encodes texts word by word; what the library made of a word is held as little-endian 32-bit integers."""
+
+    def __init__(self, model, end: bytes):
+        self.model, self.end = model, end
+        self.known: dict[str, bytes] = {}
+
+    def encoded(self, texts: list[str]) -> list[bytes]:
+        known, cut = self.known, [_BORDER.split(t) for t in texts]
+        if len(known) > KNOWN:
+            known.clear()
+        new = dict.fromkeys(w for words in cut for w in words[1:] if w not in known)
+        # what comes first has no blank before it
+        coded = self.model.encode_batch_fast([w[0] for w in cut] + [" " + w for w in new], add_special_tokens=False)
+        raw = [np.array(e.ids, "<u4").tobytes() for e in coded]
+        known.update(zip(new, raw[len(cut) :], strict=True))
+        out = [b"".join([first, *map(known.__getitem__, words[1:]), self.end]) for first, words in zip(raw, cut, strict=False)]
+        for w in new:
+            if len(w) > LONG:
+                del known[w]
+        return out
+
+
 def token_ids(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, special_as_text: bool = False) -> DataFrame:
     """(id, ids): the whole text's ids and ``end_id`` as little-endian 32-bit integers, row by row; ``tokenizer`` is a path that executors can read."""
 
@@ -46,13 +87,13 @@ def token_ids(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
-        model = Tokenizer.from_file(tokenizer)
+        model, end = Tokenizer.from_file(tokenizer), np.array([end_id], "<u4").tobytes()
         model.encode_special_tokens = special_as_text
+        encoded = _Words(model, end).encoded if by_words(model.to_str()) else lambda texts: [np.array(e.ids, "<u4").tobytes() + end for e in model.encode_batch_fast(texts, add_special_tokens=False)]
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 texts = [t or "" for t in batch.column(1)[k : k + 256].to_pylist()]
-                coded = model.encode_batch_fast(texts, add_special_tokens=False)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[k : k + 256], pa.array([np.array([*e.ids, end_id], "<u4").tobytes() for e in coded], pa.binary())], ["id", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[k : k + 256], pa.array(encoded(texts), pa.binary())], ["id", "ids"])
 
     rows = only(docs, id_col, text_col).toDF("id", "text")
     return rows.mapInArrow(run, StructType([rows.schema["id"], StructField("ids", BinaryType())]))
@@ -67,18 +108,14 @@ def write(ids: DataFrame, path: str, in_order: bool = False) -> None:
         keys, counts, held, size = [], [], [], 0
 
         def segment(arrow_kind):
-            stream = np.concatenate(held)
-            blocks = encode_blocks([stream[k : k + BLOCK] for k in range(0, len(stream), BLOCK)])
-            return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([seq], pa.int64()), pa.array([keys], pa.list_(arrow_kind)), pa.array([counts], pa.list_(pa.int64())), pa.array([blocks], pa.list_(pa.binary()))], ["part", "seq", "ids", "counts", "blocks"]
-            )
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int64()), pa.array([keys], pa.list_(arrow_kind)), pa.array([counts], pa.list_(pa.int64())), pa.array([b"".join(held)], pa.binary())], ["part", "seq", "ids", "counts", "raw"])
 
         for batch in batches:
             arrow_kind = batch.schema.field(0).type
             for key, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                held.append(np.frombuffer(raw.as_buffer(), "<u4"))
+                held.append(raw.as_buffer())
                 keys.append(key)
-                counts.append(len(held[-1]))
+                counts.append(held[-1].size // 4)
                 size += counts[-1]
                 if size >= SEGMENT:
                     yield segment(arrow_kind)
@@ -89,8 +126,9 @@ def write(ids: DataFrame, path: str, in_order: bool = False) -> None:
     if not in_order:
         n = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         ids = ids.repartitionByRange(n, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "ids")
-    schema = StructType([StructField("part", IntegerType()), StructField("seq", LongType()), StructField("ids", ArrayType(kind)), StructField("counts", ArrayType(LongType())), StructField("blocks", ArrayType(BinaryType()))])
-    ids.mapInArrow(run, schema).write.parquet(path)
+    schema = StructType([StructField("part", IntegerType()), StructField("seq", LongType()), StructField("ids", ArrayType(kind)), StructField("counts", ArrayType(LongType())), StructField("raw", BinaryType())])
+    blocks = token_kernel.encode(ids.sparkSession, F.col("raw")).alias("blocks")
+    ids.mapInArrow(run, schema).select("part", "seq", "ids", "counts", blocks).write.parquet(path)
 
 
 def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
@@ -109,15 +147,14 @@ def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for keys, counts, blocks, begin in zip(*(batch.column(n).to_pylist() for n in ("ids", "counts", "blocks", "begin")), strict=True):
-                stream = np.concatenate(decode_blocks(blocks)).astype("<u4")
-                ends = np.cumsum(counts)
-                if ends[-1] != len(stream):
+            for keys, counts, begin, coded in zip(*(batch.column(n).to_pylist() for n in ("ids", "counts", "begin")), batch.column("raw"), strict=True):
+                stream, ends = memoryview(coded.as_buffer()), np.cumsum(counts)
+                if 4 * ends[-1] != len(stream):
                     raise ValueError("a segment's counts do not fit its blocks")
-                raw = [stream[e - n : e].tobytes() for e, n in zip(ends, counts, strict=True)]
+                raw = [stream[4 * (e - n) : 4 * e] for e, n in zip(ends.tolist(), counts, strict=True)]
                 columns = [pa.array(keys, batch.schema.field("ids").type.value_type), pa.array(begin + ends - np.array(counts), pa.int64()), pa.array(counts, pa.int64()), pa.array([zlib.crc32(r) for r in raw], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(raw, pa.binary())] * with_ids, ["id", "start", "n_tokens", "ids_crc32", "token_ids"][: 4 + with_ids])
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(map(bytes, raw), pa.binary())] * with_ids, ["id", "start", "n_tokens", "ids_crc32", "token_ids"][: 4 + with_ids])
 
-    rows = files.join(small(starts, 32), ["part", "seq"]).select("ids", "counts", "blocks", "begin")
+    rows = files.join(small(starts, 32), ["part", "seq"]).select("ids", "counts", "begin", token_kernel.decode(spark, F.col("blocks")).alias("raw"))
     fields = [StructField("id", kind), *[StructField(c, LongType()) for c in ("start", "n_tokens", "ids_crc32")]]
     return rows.mapInArrow(run, StructType(fields + [StructField("token_ids", BinaryType())] * with_ids))

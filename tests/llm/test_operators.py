@@ -1,5 +1,6 @@
 import hashlib
 import itertools
+import json
 import math
 import random
 import re
@@ -13,7 +14,7 @@ import xxhash
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from folioflow.llm import chat, decontaminate, licenses, line_crf, ngram_jaccard, packing, quality_rules, queries, sharding, token_coder, token_files, url_filter
+from folioflow.llm import chat, decontaminate, licenses, line_crf, ngram_jaccard, packing, quality_rules, queries, sharding, token_coder, token_files, token_kernel, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, cid string"
 
@@ -452,6 +453,38 @@ def test_token_query_equals_the_library(spark, tmp_path, kind):
     assert queries.op1_token_files(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_token_kernel_makes_the_coders_blocks(spark):
+    rng = np.random.default_rng(3)
+    for ids in (rng.integers(0, 1 << 32, 5000, dtype=np.uint64), rng.zipf(1.3, 9000) % 50_257, np.array([7]), np.zeros(4096), np.zeros(0)):
+        ids = ids.astype("<u4")
+        want = token_coder.encode_blocks([ids[k : k + token_coder.BLOCK] for k in range(0, len(ids), token_coder.BLOCK)])
+        rows = spark.createDataFrame([Row(raw=bytearray(ids.tobytes()))], "raw binary").select(token_kernel.encode(spark, F.col("raw")).alias("blocks"))
+        assert [bytes(b) for b in rows.first().blocks] == want
+        assert bytes(rows.select(token_kernel.decode(spark, F.col("blocks"))).first()[0]) == ids.tobytes()
+    damaged = bytearray(token_coder.encode_blocks([np.arange(40, dtype=np.uint32)])[0])
+    damaged[20] ^= 255
+    with pytest.raises(Exception, match="FAILED_EXECUTE_UDF"):
+        spark.createDataFrame([Row(blocks=[damaged])], "blocks array<binary>").select(token_kernel.decode(spark, F.col("blocks"))).collect()
+
+
+def test_words_are_encoded_as_whole_texts_are(monkeypatch):
+    tokenizers = pytest.importorskip("tokenizers")
+    model = tokenizers.Tokenizer.from_file(queries.tokenizer_path())
+    assert token_files.by_words(model.to_str())
+    rng = random.Random(4)
+    pieces = [" ", "  ", "\n", "\t", "\u00a0", "\u2003", "\u0085", "\x1c", "\u200b", "a", "Wort", "'s", "'", "12", "é", "日本", "\U0001f600", ".", "<|endoftext|>", "x" * 70]
+    texts = ["".join(rng.choices(pieces, k=rng.randrange(12))) for _ in range(6000)] + ["", " ", " a", "a "]
+    for as_text in (False, True):
+        model.encode_special_tokens = as_text
+        monkeypatch.setattr(token_files, "KNOWN", 50 if as_text else 1 << 17)
+        words = token_files._Words(model, b"")
+        got = [x for k in range(0, len(texts), 100) for x in words.encoded(texts[k : k + 100])]
+        assert got == [np.array(e.ids, "<u4").tobytes() for e in model.encode_batch(texts, add_special_tokens=False)]
+    changed = json.loads(model.to_str())
+    changed["pre_tokenizer"]["add_prefix_space"] = True
+    assert not token_files.by_words(json.dumps(changed))
+
+
 def test_token_blocks_beat_zlib_on_real_ids():
     tokenizers = pytest.importorskip("tokenizers")
     pq = pytest.importorskip("pyarrow.parquet")
