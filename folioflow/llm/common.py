@@ -56,3 +56,11 @@ def unused(df: DataFrame, *names: str) -> list[str]:
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns, exactly spelled, whatever else the table holds."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def texts_of(column) -> list[str | None]:
+    """An Arrow column's texts; Spark's strings may hold bytes that are not UTF-8, which become U+FFFD."""
+    try:
+        return column.to_pylist()
+    except UnicodeDecodeError:
+        return [None if x is None else x.decode("utf-8", "replace") for x in column.cast("binary").to_pylist()]

@@ -11,7 +11,8 @@ the model has a fixed size.
 
 Defined results: a null or blank text has one empty line, so that it gets the model's score of nothing. Labels of
 one id that differ: the text counts as good only if all say so. Without labels of both kinds all scores are
-0.5. A null id is held out. Repeated rows keep their rows. Extra columns are not read.
+0.5. A null id is held out. Repeated rows keep their rows. Bytes that are not
+UTF-8 are read as U+FFFD. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from .common import only, small
+from .common import only, small, texts_of
 
 MAX_TRAIN = 800  #: texts of each label
 MAX_LINES = 400  #: of a text that is trained on
@@ -190,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def run(batches):
         for batch in batches:
-            lines = [lines_of(t) for t in batch.column(0).to_pylist()]
+            lines = [lines_of(t) for t in texts_of(batch.column(0))]
             rows = [line_features(x).astype(np.float32).tobytes() if len(x) <= MAX_LINES else None for x in lines]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), *batch.columns[1:]], ["x", "y", "at", "label_id"])
 
@@ -208,7 +209,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = texts_of(batch.column(1))
             scores = [model.score(t) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([len(lines_of(t)) for t in texts], pa.int64())], ["id", "score", "n_lines"])
 
@@ -222,6 +223,6 @@ def good(docs: DataFrame, model: Model, text_col: str = "text", threshold: float
 
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array([model.score(t) >= threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([model.score(t) >= threshold for t in texts_of(batch.column(at))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

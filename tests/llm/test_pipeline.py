@@ -112,3 +112,19 @@ def test_filters_keep_clean_documents(spark):
     for _, stage in corpus_pipeline.STAGES[:2]:
         ids = {r.doc_id for r in stage(spark, docs, SF).select("doc_id").collect()}
         assert len(long_good & ids) >= 0.95 * len(long_good) and len(bad & ids) <= 0.3 * len(bad)
+
+
+def test_bytes_that_are_not_utf8_pass_all_stages(spark, tmp_path):
+    sf = str(tmp_path)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = docs.where("n_chars > 800").limit(30).withColumn("doc_id", F.col("doc_id") + 800_000)
+    odd = odd.withColumn("text", F.expr("cast(concat(cast(reverse(text) as binary), X'20FFFE20C3') as string)"))
+    docs.unionByName(odd).write.parquet(f"{sf}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{sf}/{name}.parquet")
+    read = spark.read.parquet(f"{sf}/documents.parquet")
+    model = line_crf.fit(read, spark.read.parquet(f"{sf}/labels.parquet"))
+    assert line_crf.scored(read, model).where("doc_id >= 800000").count() == 30
+    kept = read.where(F.col("doc_id") >= 800_000)
+    assert {(r.doc_id, r.t) for r in line_crf.good(kept, model, threshold=0.0).selectExpr("doc_id", "hex(text) t").collect()} == {(r.doc_id, r.t) for r in kept.selectExpr("doc_id", "hex(text) t").collect()}
+    assert corpus_pipeline.run(spark, sf).count() > 0
