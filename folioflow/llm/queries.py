@@ -21,8 +21,7 @@ def tokenizer_path() -> str:
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
-    docs = token_files.ordered(read(spark, sf_dir, "documents"))
-    token_files.write(token_files.token_ids(docs, tokenizer_path(), "id"), path, in_order=True)
+    token_files.write_texts(read(spark, sf_dir, "documents"), tokenizer_path(), path)
     return token_files.read(spark, path, with_ids=False).withColumnRenamed("id", "doc_id")
 
 

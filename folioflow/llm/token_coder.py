@@ -4,10 +4,10 @@ An id is coded in nibbles, highest first. For each nibble three adaptive distrib
 nibbles so far alone (order 0), with the id before (order 1) and with the two ids before (order 2). A
 distribution moves towards what it sees, fast while it is young. The three are mixed with weights that depend on how often the two
 contexts have been seen and that follow how well each order predicted; a range coder codes the nibble with the mixture. All arithmetic
-is on integers, so any machine decodes alike. Each block starts from blank tables and carries the CRC-32 of its
+is on integers, so any machine decodes alike, and the mixture's sixteen parts together stay below 2^16, so that ``token_kernel`` can work on four of them at once. Each block starts from blank tables and carries the CRC-32 of its
 ids, hence blocks are coded and decoded in lockstep, one lane of the arrays a block.
 
-Block: ``FXB2``, nibbles an id (1 byte), ids (4 bytes), CRC-32 of the ids as little-endian 32-bit integers (4 bytes), code.
+Block: ``FXB3``, nibbles an id (1 byte), ids (4 bytes), CRC-32 of the ids as little-endian 32-bit integers (4 bytes), code.
 """
 
 from __future__ import annotations
@@ -19,11 +19,13 @@ import numpy as np
 
 BLOCK, LANES = 4096, 384
 SLOT_BITS = 12
-_MAGIC = b"FXB2"
+_MAGIC = b"FXB3"
 _HEAD = struct.Struct("<4sBII")
-#: A distribution's parts, 4096 in all at first; how fast it moves (a shift) by how often it was used.
-_PARTS, _SHIFT = 4096, np.array([1, 2, 2, 3, 3, 3, 4, 4, 4, 4, 4, 4, 5], np.uint16)
-_WHOLE, _RATE, _LEAST = 1 << 16, 24, 1 << 9
+#: A distribution's parts, 2048 in all at first; how fast it moves (a shift) by how often it was used. They never come to more than 2048 + 16 * (2^4 - 1).
+_PARTS, _SHIFT = 2048, np.array([1, 2, 2, 3, 3, 3, 4], np.uint16)
+#: Weights are of a whole, move by a share of 2^-RATE, and the mixture takes them in units of SHARES a whole.
+_WHOLE, _RATE, _LEAST, _SHARES = 1 << 16, 4, 1 << 9, 28
+_INVERSE = np.concatenate([[0], _WHOLE // np.arange(1, _PARTS + 16 * 16)]).astype(np.int64)
 #: Of the orders, by how often (never, once, more often) the contexts of orders 1 and 2 were seen.
 _START = np.array([[_WHOLE - 2 * _LEAST, _LEAST, _LEAST], [_WHOLE // 2, _LEAST, _WHOLE // 2], [_WHOLE // 4, _LEAST, 3 * _WHOLE // 4], [_WHOLE // 2, _WHOLE // 2, _LEAST], [_WHOLE // 4, _WHOLE // 4, _WHOLE // 2], [_WHOLE // 8, _WHOLE // 8, 3 * _WHOLE // 4], [_WHOLE // 4, 3 * _WHOLE // 4, _LEAST], [_WHOLE // 8, 3 * _WHOLE // 8, _WHOLE // 2], [_WHOLE // 8, _WHOLE // 4, 5 * _WHOLE // 8]], np.int64)
 _U = np.uint64
@@ -55,19 +57,19 @@ class _Lanes:
         place = np.minimum(self.age[1], 2) * 3 + np.minimum(self.age[2], 2)
         self.at = (self.row[:k] * self.nibbles + at) * 9 + place
         self.w = self.weights.take(self.at, axis=0)
-        share = (self.w >> 8).astype(np.int32)
+        share = (self.w * _SHARES >> 16).astype(np.int32)
         mixed = self.own[0] * share[:, :1]
         mixed += self.own[1] * share[:, 1:2]
         mixed += self.own[2] * share[:, 2:]
-        mixed >>= 4
         mixed += 1
         return mixed, np.cumsum(mixed, axis=1)
 
     def update(self, value: np.ndarray) -> None:
         rows = self.row[: self.k]
         seen = np.stack([p[rows, value] for p in self.own], 1).astype(np.int64)
-        mean = (seen * self.w).sum(1) // self.w.sum(1) + 1
-        self.weights[self.at] = np.clip(self.w + self.w * (seen - mean[:, None]) // (mean * _RATE)[:, None], _LEAST, _WHOLE)
+        mean = ((seen * self.w).sum(1) >> 16) + 1
+        due = (self.w * seen >> 8) * _INVERSE.take(mean)[:, None] >> 8
+        self.weights[self.at] = np.clip(self.w + (due - self.w >> _RATE), _LEAST, _WHOLE)
         for parts, used, slots, age, own in zip(self.parts, self.used, self.slots, self.age, self.own, strict=True):
             shift = _SHIFT.take(age)
             own -= own >> shift[:, None]

@@ -7,36 +7,41 @@ start at any segment). Spark commits the files, so an executor's loss leaves no
 ``ordered`` range-partitions the texts by document id before anything is computed from them, so bounds are drawn from ids alone, each text is tokenised
 once, and ids are coded where they arise, by ``token_kernel``. Parts and segments are of bounded size, only their sums are added up across parts.
 
-Of a text, each word with the blank before it is looked up among at most ``KNOWN`` words that the library has encoded, and is else given to the library: with
-a byte-level tokenizer no token crosses such a border (``by_words`` says which tokenizers that holds for; the others get whole texts).
+Of a text, each word with the blank before it is looked up among at most ``KNOWN`` words, or those of one segment, that the library has encoded, and is else given
+to the library: with a byte-level tokenizer no token crosses such a border (``by_words`` says which tokenizers that holds for; the others get whole texts).
+``write_texts`` has the texts of a segment cut by ``token_kernel``, so that Python sees each piece once a segment.
 
 Defined results: a null or empty text has only the end id. Documents with equal ids are in the order of a hash of their texts, so that an id of a third of all rows
-spreads over parts; equal rows are in any order, which nothing shows. Null ids come first. Ids may be of any type that Spark orders. A special token's string
+spreads over parts; equal rows are in any order, which nothing shows. Bytes that are not UTF-8 are read as U+FFFD. Null ids come first. Ids may be of any type that Spark orders. A special token's string
 within a text is what the library makes of it, or ordinary text with ``special_as_text``. Extra columns are not read. A dataset
 without documents is a folder without rows.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from . import token_kernel
-from .common import only, small
+from .common import only, small, texts_of
 from .token_coder import BLOCK, LANES
 
 SEGMENT = BLOCK * LANES  #: ids of a segment, or one document more
-KNOWN, LONG = 1 << 17, 64  #: words held by a task, and characters of the longest of them
-_BORDER = re.compile(r" (?=\S)")
+TEXTS = 2 * SEGMENT  #: bytes of texts that ``write_texts`` makes a segment of, or one document more
+KNOWN, LONG = 1 << 19, 64  #: words held by a Python process (about 200 bytes each), and bytes of the longest of them
+_BORDER = re.compile(r"(?= \S)")
 
 
 def ordered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -49,50 +54,76 @@ def ordered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def by_words(model: str) -> bool:
     """Whether the tokenizer (its JSON) encodes a text as the sum of what lies between blanks that a character other than white space follows:
-    its pattern joins such a blank to that character, and a run of white space gives its last blank up to it."""
+    its pattern joins such a blank to that character, and a run of white space gives its last blank up to it. The same holds for the borders of ``token_kernel.cut``:
+    letters, marks and a lone line feed are in parts of their own."""
     j = json.loads(model)
     plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
-    added = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) and not re.search(r"\s", t["content"]) for t in j["added_tokens"])
+    added = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) and not re.search(rf"[\s{token_kernel.MARKS}]", t["content"]) for t in j["added_tokens"])
     pre = {k: v for k, v in (j["pre_tokenizer"] or {}).items() if k != "trim_offsets"}
     return added and pre == plain and j["model"].get("type") == "BPE" and not j["model"].get("dropout") and not any(j.get(k) for k in ("normalizer", "post_processor", "truncation", "padding"))
 
 
 class _Words:
-    """Encodes texts word by word; what the library made of a word is held as little-endian 32-bit integers."""
+    """Encodes words (UTF-8), each by itself; what the library made of a word is held as little-endian 32-bit integers."""
 
     def __init__(self, model, end: bytes):
         self.model, self.end = model, end
-        self.known: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
 
-    def encoded(self, texts: list[str]) -> list[bytes]:
-        known, cut = self.known, [_BORDER.split(t) for t in texts]
+    def of(self, words: list[bytes]) -> list[bytes]:
+        known = self.known
         if len(known) > KNOWN:
-            known.clear()
-        new = dict.fromkeys(w for words in cut for w in words[1:] if w not in known)
-        # what comes first has no blank before it
-        coded = self.model.encode_batch_fast([w[0] for w in cut] + [" " + w for w in new], add_special_tokens=False)
-        raw = [np.array(e.ids, "<u4").tobytes() for e in coded]
-        known.update(zip(new, raw[len(cut) :], strict=True))
-        out = [b"".join([first, *map(known.__getitem__, words[1:]), self.end]) for first, words in zip(raw, cut, strict=False)]
+            self.known = known = {w: known[w] for w in words if w in known}
+        new = list(dict.fromkeys(w for w in words if w not in known))
+        for k in range(0, len(new), 512):
+            part = new[k : k + 512]
+            coded = [e.ids for e in self.model.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)]
+            raw = np.fromiter(itertools.chain.from_iterable(coded), "<u4").tobytes()
+            ends = itertools.accumulate((4 * len(ids) for ids in coded), initial=0)
+            known.update((w, raw[i:j]) for w, (i, j) in zip(part, itertools.pairwise(ends), strict=True))
+        out = [known[w] for w in words]
         for w in new:
             if len(w) > LONG:
                 del known[w]
         return out
 
+    def encoded(self, texts: list[str]) -> list[bytes]:
+        cut = [_BORDER.split(t) for t in texts]
+        coded = iter(self.of([w.encode() for words in cut for w in words]))
+        return [b"".join([*itertools.islice(coded, len(words)), self.end]) for words in cut]
+
+
+def _model(tokenizer: str, special_as_text: bool):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(tokenizer)
+    model.encode_special_tokens = special_as_text
+    return model
+
+
+_kept: dict[tuple, _Words] = {}  # of this Python process, for its next task
+
+
+def _words(tokenizer: str, special_as_text: bool, end_id: int) -> _Words:
+    """The words of the task that this process ran before, if it was for the same tokenizer (its file is unchanged)."""
+    file = os.stat(tokenizer)
+    key = tokenizer, file.st_mtime_ns, file.st_size, special_as_text, end_id
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = _Words(_model(tokenizer, special_as_text), np.array([end_id], "<u4").tobytes())
+    return _kept[key]
+
 
 def token_ids(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, special_as_text: bool = False) -> DataFrame:
     """(id, ids): the whole text's ids and ``end_id`` as little-endian 32-bit integers, row by row; ``tokenizer`` is a path that executors can read."""
 
     def run(batches):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        from tokenizers import Tokenizer
-
-        model, end = Tokenizer.from_file(tokenizer), np.array([end_id], "<u4").tobytes()
-        model.encode_special_tokens = special_as_text
+        model, end = _model(tokenizer, special_as_text), np.array([end_id], "<u4").tobytes()
         encoded = _Words(model, end).encoded if by_words(model.to_str()) else lambda texts: [np.array(e.ids, "<u4").tobytes() + end for e in model.encode_batch_fast(texts, add_special_tokens=False)]
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
-                texts = [t or "" for t in batch.column(1)[k : k + 256].to_pylist()]
+                texts = [t or "" for t in texts_of(batch.column(1)[k : k + 256])]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[k : k + 256], pa.array(encoded(texts), pa.binary())], ["id", "ids"])
 
     rows = only(docs, id_col, text_col).toDF("id", "text")
@@ -126,9 +157,70 @@ def write(ids: DataFrame, path: str, in_order: bool = False) -> None:
     if not in_order:
         n = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         ids = ids.repartitionByRange(n, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "ids")
-    schema = StructType([StructField("part", IntegerType()), StructField("seq", LongType()), StructField("ids", ArrayType(kind)), StructField("counts", ArrayType(LongType())), StructField("raw", BinaryType())])
-    blocks = token_kernel.encode(ids.sparkSession, F.col("raw")).alias("blocks")
-    ids.mapInArrow(run, schema).select("part", "seq", "ids", "counts", blocks).write.parquet(path)
+    _save(ids.mapInArrow(run, _schema(kind, counts=ArrayType(LongType()), raw=BinaryType())), path)
+
+
+def _schema(kind, **more) -> StructType:
+    return StructType([StructField("part", IntegerType()), StructField("seq", LongType()), StructField("ids", ArrayType(kind)), *[StructField(k, t) for k, t in more.items()]])
+
+
+def _save(segments: DataFrame, path: str) -> None:
+    segments.select("part", "seq", "ids", "counts", token_kernel.encode(segments.sparkSession, F.col("raw")).alias("blocks")).write.parquet(path)
+
+
+def write_texts(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, special_as_text: bool = False) -> None:
+    """Write the whole texts' ids as a dataset: ``write`` of the ``token_ids`` of the ``ordered`` texts, with each distinct piece of a segment's texts encoded once."""
+    rows, spark = ordered(docs, id_col, text_col), docs.sparkSession
+    if not by_words(Path(tokenizer).read_text("utf-8")):
+        return write(token_ids(rows, tokenizer, "id", "text", end_id, special_as_text), path, in_order=True)
+    kind = rows.schema["id"].dataType
+
+    def gather(batches):
+        part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def segment():
+            ids = pa.concat_arrays([b.column(0) for b in held])
+            texts = [t.fill_null(b"") for t in (b.column(1) for b in held)]
+            ends = np.cumsum(np.concatenate([pc.binary_length(t).to_numpy(zero_copy_only=False) for t in texts])).astype("<i4")
+            joined = b"".join(x.as_buffer() for t in texts for x in t)
+            columns = [pa.array([part], pa.int32()), pa.array([seq], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([joined], pa.binary()), pa.array([ends.tobytes()], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["part", "seq", "ids", "texts", "ends"])
+
+        for batch in batches:
+            sums, at = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False)), 0
+            while at < batch.num_rows:
+                before = int(sums[at - 1]) if at else 0
+                to = min(int(np.searchsorted(sums, before + TEXTS - size)) + 1, batch.num_rows)
+                held.append(batch.slice(at, to - at))
+                size += int(sums[to - 1]) - before
+                at = to
+                if size >= TEXTS:
+                    yield segment()
+                    held, size, seq = [], 0, seq + 1
+        if held:
+            yield segment()
+
+    def run(batches):
+        words = _words(tokenizer, special_as_text, end_id)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found, codes = token_kernel.pieces(batch.column("cut")[i].as_py())
+                table = [words.end, *words.of(found)]
+                sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
+                n = sizes[codes]
+                ends = np.cumsum(n)
+                # each id's place in the table
+                at = np.repeat((np.cumsum(sizes) - sizes)[codes] - (ends - n), n)
+                at += np.arange(len(at))
+                raw = np.frombuffer(b"".join(table), "<u4")[at]
+                counts = np.diff(ends[codes == 0], prepend=0)
+                columns = [batch.column(c)[i : i + 1] for c in ("part", "seq", "ids")]
+                columns += [pa.ListArray.from_arrays(pa.array([0, len(counts)], pa.int32()), pa.array(counts, pa.int64())), pa.array([raw.tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["part", "seq", "ids", "counts", "raw"])
+
+    texts = rows.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(gather, _schema(kind, texts=BinaryType(), ends=BinaryType()))
+    cut = texts.select("part", "seq", "ids", token_kernel.cut(spark, F.col("texts"), F.col("ends")).alias("cut"))
+    _save(cut.mapInArrow(run, _schema(kind, counts=ArrayType(LongType()), raw=BinaryType())), path)
 
 
 def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:

@@ -2,16 +2,18 @@
 
 The Java below is compiled by Janino, which Spark itself brings for its generated code, once a session, and its classes go to the executors
 as a jar like any other. ``encode`` takes a segment's ids (little-endian 32-bit integers) to its blocks, ``decode`` takes
-blocks back and fails on a damaged one.
+blocks back and fails on a damaged one. ``cut`` takes a segment's texts to their distinct pieces and the pieces' places; ``pieces`` reads that.
 """
 
 from __future__ import annotations
 
+import itertools
 import os
 import tempfile
 import uuid
 import zipfile
 
+import numpy as np
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType
@@ -19,7 +21,7 @@ from pyspark.sql.types import ArrayType, BinaryType, DataType
 from . import token_coder as tc
 
 _NUMBERS = {
-    "BLOCK": tc.BLOCK, "LANES": tc.LANES, "BITS": tc.SLOT_BITS, "PARTS": tc._PARTS, "WHOLE": tc._WHOLE, "RATE": tc._RATE, "LEAST": tc._LEAST, "HEAD": tc._HEAD.size,
+    "BLOCK": tc.BLOCK, "LANES": tc.LANES, "BITS": tc.SLOT_BITS, "PARTS": tc._PARTS, "WHOLE": tc._WHOLE, "RATE": tc._RATE, "LEAST": tc._LEAST, "SHARES": tc._SHARES, "HEAD": tc._HEAD.size,
 }
 
 _MODEL = r"""
@@ -33,17 +35,21 @@ public final class Model {
   static final long MASK = (1L << 48) - 1;
   static final byte[] MAGIC = {MAGIC_BYTES};
 
-  final short[] p0 = new short[SLOTS * 16], p1 = new short[SLOTS * 16], p2 = new short[SLOTS * 16];
+  static final int[] INVERSE = {INVERSES};
+  // four parts of 16 bits in a long, the first lowest; ONES times such a long is its running sums
+  static final long ONES = 0x0001000100010001L;
+
+  final long[] p0 = new long[SLOTS * 4], p1 = new long[SLOTS * 4], p2 = new long[SLOTS * 4];
   final byte[] u0 = new byte[SLOTS], u1 = new byte[SLOTS], u2 = new byte[SLOTS];
   final int[] weights = new int[8 * START.length];
-  final int[] mixed = new int[16];
-  long one, two, near, far, node;
-  int s0, s1, s2, a0, a1, a2, at, total;
+  long one, two, near, far, node, c0, c1, c2, c3;  // c: running sums within each four of the mixture
+  int s0, s1, s2, a0, a1, a2, at, b1, b2, b3, total;  // b: what comes before the fours
+  int before, part;
 
   void reset() {
-    java.util.Arrays.fill(p0, (short) (PARTS / 16));
-    java.util.Arrays.fill(p1, (short) (PARTS / 16));
-    java.util.Arrays.fill(p2, (short) (PARTS / 16));
+    java.util.Arrays.fill(p0, PARTS / 16 * ONES);
+    java.util.Arrays.fill(p1, PARTS / 16 * ONES);
+    java.util.Arrays.fill(p2, PARTS / 16 * ONES);
     java.util.Arrays.fill(u0, (byte) 0);
     java.util.Arrays.fill(u1, (byte) 0);
     java.util.Arrays.fill(u2, (byte) 0);
@@ -67,30 +73,67 @@ public final class Model {
     a1 = u1[s1];
     a2 = u2[s2];
     at = (place * 9 + Math.min(a1, 2) * 3 + Math.min(a2, 2)) * 3;
-    int w0 = weights[at] >> 8, w1 = weights[at + 1] >> 8, w2 = weights[at + 2] >> 8;
-    int o0 = s0 << 4, o1 = s1 << 4, o2 = s2 << 4;
-    int sum = 0;
-    for (int j = 0; j < 16; j++) {
-      int m = (p0[o0 + j] * w0 + p1[o1 + j] * w1 + p2[o2 + j] * w2 >> 4) + 1;
-      mixed[j] = m;
-      sum += m;
-    }
-    total = sum;
+    long w0 = weights[at] * SHARES >> 16, w1 = weights[at + 1] * SHARES >> 16, w2 = weights[at + 2] * SHARES >> 16;
+    int o0 = s0 << 2, o1 = s1 << 2, o2 = s2 << 2;
+    c0 = (p0[o0] * w0 + p1[o1] * w1 + p2[o2] * w2 + ONES) * ONES;
+    c1 = (p0[o0 + 1] * w0 + p1[o1 + 1] * w1 + p2[o2 + 1] * w2 + ONES) * ONES;
+    c2 = (p0[o0 + 2] * w0 + p1[o1 + 2] * w1 + p2[o2 + 2] * w2 + ONES) * ONES;
+    c3 = (p0[o0 + 3] * w0 + p1[o1 + 3] * w1 + p2[o2 + 3] * w2 + ONES) * ONES;
+    b1 = (int) (c0 >>> 48);
+    b2 = b1 + (int) (c1 >>> 48);
+    b3 = b2 + (int) (c2 >>> 48);
+    total = b3 + (int) (c3 >>> 48);
+  }
+
+  /** Set the sum before a value and its part. */
+  void of(int value) {
+    int four = value >> 2;
+    within(four == 0 ? c0 : four == 1 ? c1 : four == 2 ? c2 : c3, four == 0 ? 0 : four == 1 ? b1 : four == 2 ? b2 : b3, (value & 3) << 4);
+  }
+
+  void within(long c, int first, int bit) {
+    int low = (int) (c << 16 >>> bit) & 0xFFFF;
+    before = first + low;
+    part = ((int) (c >>> bit) & 0xFFFF) - low;
+  }
+
+  /** The value whose interval holds ``aim``, the last one if none does; sets the sum before it and its part. */
+  int at(long aim) {
+    int four = aim < b2 ? aim < b1 ? 0 : 1 : aim < b3 ? 2 : 3;
+    long c = four == 0 ? c0 : four == 1 ? c1 : four == 2 ? c2 : c3;
+    int first = four == 0 ? 0 : four == 1 ? b1 : four == 2 ? b2 : b3;
+    long rest = aim - first;
+    int lane = (rest >= (c & 0xFFFF) ? 1 : 0) + (rest >= (c >>> 16 & 0xFFFF) ? 1 : 0) + (rest >= (c >>> 32 & 0xFFFF) ? 1 : 0);
+    within(c, first, lane << 4);
+    return four << 2 | lane;
   }
 
-  static void move(short[] p, int o, int shift, int value) {
-    for (int j = o; j < o + 16; j++) p[j] = (short) (p[j] - (p[j] >> shift));
-    p[o + value] = (short) (p[o + value] + (PARTS >> shift));
+  static int part(long[] p, int o, int value) {
+    return (int) (p[o + (value >> 2)] >>> ((value & 3) << 4)) & 0xFFFF;
+  }
+
+  static void move(long[] p, int o, int shift, int value) {
+    long keep = (0xFFFF >> shift) * ONES;
+    p[o] -= p[o] >>> shift & keep;
+    p[o + 1] -= p[o + 1] >>> shift & keep;
+    p[o + 2] -= p[o + 2] >>> shift & keep;
+    p[o + 3] -= p[o + 3] >>> shift & keep;
+    p[o + (value >> 2)] += (long) (PARTS >> shift) << ((value & 3) << 4);
+  }
+
+  static int moved(int w, int x, int inverse) {
+    int due = (int) ((long) (w * x >> 8) * inverse >> 8);
+    return Math.max(LEAST, Math.min(WHOLE, w + (due - w >> RATE)));
   }
 
   void update(int value) {
-    int o0 = s0 << 4, o1 = s1 << 4, o2 = s2 << 4;
-    int x0 = p0[o0 + value], x1 = p1[o1 + value], x2 = p2[o2 + value];
+    int o0 = s0 << 2, o1 = s1 << 2, o2 = s2 << 2;
+    int x0 = part(p0, o0, value), x1 = part(p1, o1, value), x2 = part(p2, o2, value);
     int w0 = weights[at], w1 = weights[at + 1], w2 = weights[at + 2];
-    int mean = (x0 * w0 + x1 * w1 + x2 * w2) / (w0 + w1 + w2) + 1, slow = mean * RATE;
-    weights[at] = Math.max(LEAST, Math.min(WHOLE, w0 + Math.floorDiv(w0 * (x0 - mean), slow)));
-    weights[at + 1] = Math.max(LEAST, Math.min(WHOLE, w1 + Math.floorDiv(w1 * (x1 - mean), slow)));
-    weights[at + 2] = Math.max(LEAST, Math.min(WHOLE, w2 + Math.floorDiv(w2 * (x2 - mean), slow)));
+    int inverse = INVERSE[(x0 * w0 + x1 * w1 + x2 * w2 >> 16) + 1];
+    weights[at] = moved(w0, x0, inverse);
+    weights[at + 1] = moved(w1, x1, inverse);
+    weights[at + 2] = moved(w2, x2, inverse);
     move(p0, o0, SHIFT[a0], value);
     move(p1, o1, SHIFT[a1], value);
     move(p2, o2, SHIFT[a2], value);
@@ -138,11 +181,11 @@ public final class Model {
       begin();
       for (int place = 0; place < nibbles; place++) {
         predict(place);
-        int value = (int) (id >> 4 * (nibbles - 1 - place)) & 15, before = 0;
-        for (int j = 0; j < value; j++) before += mixed[j];
+        int value = (int) (id >> 4 * (nibbles - 1 - place)) & 15;
+        of(value);
         long unit = size / total;
         lo += unit * before;
-        size = unit * mixed[value];
+        size = unit * part;
         update(value);
         while (true) {
           if (!settled(lo, size)) {
@@ -187,11 +230,9 @@ public final class Model {
         predict(place);
         long unit = size / total;
         if (unit == 0) throw new IllegalArgumentException("a block of token ids is damaged");
-        long aim = (x - lo) / unit;
-        int value = 0, before = 0;
-        while (value < 15 && before + mixed[value] <= aim) before += mixed[value++];
+        int value = at((x - lo) / unit);
         lo += unit * before;
-        size = unit * mixed[value];
+        size = unit * part;
         update(value);
         while (true) {
           if (!settled(lo, size)) {
@@ -258,14 +299,138 @@ public final class Decode implements org.apache.spark.sql.api.java.UDF1 {
 }
 """
 
+_CUT = r"""
+package PACKAGE;
+
+public final class Cut implements org.apache.spark.sql.api.java.UDF2 {
+  static final int LETTER = 1, MARK = 2, GRAPH = 4, SOLID = 8, EDGE = 16;
+  static final byte[] KINDS = new byte[256];
+
+  static {
+    for (int c = 0; c < 256; c++) {
+      boolean graph = c > 32 && c < 127, letter = c >= 'A' && c <= 'Z' || c >= 'a' && c <= 'z', mark = "MARKS".indexOf((char) c) >= 0;
+      // what begins a character that is surely no white space
+      boolean solid = graph || c >= 0xC3 && (c < 0xE1 || c > 0xE3);
+      KINDS[c] = (byte) ((letter ? LETTER : 0) | (mark ? MARK : 0) | (graph ? GRAPH : 0) | (solid ? SOLID : 0) | (mark || c == ' ' || c == 10 ? EDGE : 0));
+    }
+  }
+
+  static boolean is(byte b, int kind) {
+    return (KINDS[b & 255] & kind) != 0;
+  }
+
+  /** Whether a piece of the text from ``begin`` to ``end`` begins at ``i``, which is within it. */
+  static boolean border(byte[] b, int begin, int i, int end) {
+    byte c = b[i], last = b[i - 1];
+    if (last == 10) return i - 2 >= begin && is(b[i - 2], GRAPH) && is(c, SOLID) || c == ' ' && i + 1 < end && is(b[i + 1], SOLID);
+    if (!is(c, EDGE)) return false;
+    if (c == ' ') return i + 1 < end && is(b[i + 1], SOLID);
+    return c == 10 ? is(last, GRAPH) : is(last, LETTER);
+  }
+
+  public Object call(Object texts, Object ends) {
+    return new Pieces((byte[]) texts).found((byte[]) ends);
+  }
+}
+"""
+
+_PIECES = r"""
+package PACKAGE;
+
+final class Pieces {
+  final byte[] b;
+  int words, places, bytes;
+  int[] slots = new int[1 << 15], from = new int[1 << 14], size = new int[1 << 14], hash = new int[1 << 14], codes;
+
+  Pieces(byte[] texts) {
+    b = texts;
+    codes = new int[texts.length / 6 + 64];
+  }
+
+  void place(int word) {
+    if (places == codes.length) codes = java.util.Arrays.copyOf(codes, 2 * places);
+    codes[places++] = word;
+  }
+
+  boolean same(int word, int h, int start, int end) {
+    return hash[word] == h && java.util.Arrays.equals(b, from[word], from[word] + size[word], b, start, end);
+  }
+
+  /** The number, from 1 on, of the piece from ``start`` to ``end``. */
+  int number(int start, int end, int h) {
+    int at = h & slots.length - 1;
+    while (slots[at] != 0) {
+      if (same(slots[at] - 1, h, start, end)) return slots[at];
+      at = at + 1 & slots.length - 1;
+    }
+    if (words == from.length) {
+      from = java.util.Arrays.copyOf(from, 2 * words);
+      size = java.util.Arrays.copyOf(size, 2 * words);
+      hash = java.util.Arrays.copyOf(hash, 2 * words);
+    }
+    from[words] = start;
+    size[words] = end - start;
+    hash[words] = h;
+    bytes += end - start;
+    words++;
+    slots[at] = words;
+    if (2 * words > slots.length) widen();
+    return words;
+  }
+
+  void widen() {
+    slots = new int[2 * slots.length];
+    for (int w = 0; w < words; w++) {
+      int at = hash[w] & slots.length - 1;
+      while (slots[at] != 0) at = at + 1 & slots.length - 1;
+      slots[at] = w + 1;
+    }
+  }
+
+  void text(int begin, int end) {
+    int i = begin;
+    while (i < end) {
+      int start = i, h = b[i++];
+      while (i < end && !Cut.border(b, begin, i, end)) h = h * 31 + b[i++];
+      h *= 0x9E3779B1;
+      place(number(start, i, h ^ h >>> 15));
+    }
+    place(0);
+  }
+
+  byte[] found(byte[] ends) {
+    int begin = 0;
+    for (int t = 0; t < ends.length / 4; t++) {
+      int end = (int) Model.id(ends, t);
+      text(begin, end);
+      begin = end;
+    }
+    byte[] out = new byte[Math.addExact(Math.multiplyExact(4, Math.addExact(words + 3, places)), bytes)];
+    Model.put(out, 0, words);
+    Model.put(out, 4, places);
+    int at = 4 * (words + 3), sum = 0;
+    for (int k = 0; k < places; k++, at += 4) Model.put(out, at, codes[k]);
+    for (int w = 0; w < words; w++) {
+      System.arraycopy(b, from[w], out, at + sum, size[w]);
+      sum += size[w];
+      Model.put(out, 12 + 4 * w, sum);
+    }
+    return out;
+  }
+}
+"""
+
+#: A piece may end between a letter and one of these.
+MARKS = ",.;:!?#*%&$"
+
 _names: dict[tuple[str, str], str] = {}  # application and session: package of its classes
 
 
 def _sources(package: str) -> str:
     numbers = "static final int " + ", ".join(f"{k} = {v}" for k, v in _NUMBERS.items()) + ";"
     listed = lambda x: ", ".join(map(str, x))
-    model = _MODEL.replace("NUMBERS", numbers).replace("SHIFTS", listed(tc._SHIFT)).replace("STARTS", listed(tc._START.ravel())).replace("MAGIC_BYTES", listed(tc._MAGIC))
-    parts = [model, _ENCODE, _DECODE]
+    model = _MODEL.replace("NUMBERS", numbers).replace("SHIFTS", listed(tc._SHIFT)).replace("STARTS", listed(tc._START.ravel())).replace("MAGIC_BYTES", listed(tc._MAGIC)).replace("INVERSES", listed(tc._INVERSE))
+    parts = [model, _ENCODE, _DECODE, _CUT.replace("MARKS\"", MARKS + "\""), _PIECES]
     return f"package {package};\n" + "\n".join(p.replace("package PACKAGE;", "") for p in parts)
 
 
@@ -304,3 +469,19 @@ def encode(spark: SparkSession, segment: Column) -> Column:
 def decode(spark: SparkSession, blocks: Column) -> Column:
     """binary: the ids of a segment's blocks."""
     return F.call_function(_registered(spark, "Decode", BinaryType()), blocks)
+
+
+def cut(spark: SparkSession, texts: Column, ends: Column) -> Column:
+    """binary, for ``pieces``: of texts (UTF-8, one after another; where each ends, as little-endian 32-bit integers) the distinct pieces and where they stand.
+
+    A piece begins before a blank that a visible character follows, between an ASCII letter and one of ``MARKS``, before a line feed that a visible ASCII
+    character precedes, and after such a line feed if a visible character follows. Pieces that might begin with white space outside ASCII are left whole."""
+    return F.call_function(_registered(spark, "Cut", BinaryType()), texts, ends)
+
+
+def pieces(found: bytes) -> tuple[list[bytes], np.ndarray]:
+    """The distinct pieces; of each place, in the texts' order, the piece's number from 1 on, and 0 after each text."""
+    words, places = np.frombuffer(found, "<i4", 2).tolist()
+    codes = np.frombuffer(found, "<i4", places, 4 * (words + 3))
+    ends = (np.frombuffer(found, "<i4", words + 1, 8) + 4 * (words + 3 + places)).tolist()
+    return [found[i:j] for i, j in itertools.pairwise(ends)], codes

@@ -544,3 +544,35 @@ def test_license_notices_are_found_however_they_are_wrapped():
     # pieces of a notice with a blank line or a line of prose between them are no notice
     gpl = textwrap.wrap(licenses.TEMPLATES["GPL"][1], 70)
     assert not model.scan("\n\n".join(gpl))[1] and not model.scan(f"{gpl[0]}\n{prose(rng, 12)}\n{gpl[2]}")[1]
+
+
+def test_texts_are_cut_where_the_library_cuts_them(spark, tmp_path, monkeypatch):
+    """Each distinct piece of a segment is encoded once, and bytes that are not UTF-8 no longer end the query."""
+    tokenizers = pytest.importorskip("tokenizers")
+    model = tokenizers.Tokenizer.from_file(queries.tokenizer_path())
+    rng = random.Random(9)
+    pieces = [" ", " ", "\n", "\n", "\t", "\r", " ", " ", "\u0085", "　", "\x1c", "​", "a", "Wort", "'s", "don't", "'", "12", "é", "à", "日本", "\U0001f600", *".,;:!?#*%&$", "%%%", "<|endoftext|>", "x" * 70]
+    texts = ["".join(rng.choices(pieces, k=rng.randrange(14))).encode() for _ in range(3000)] + [b"", None, b" ", b"\n", b"a\n\nb", b"\xff\xfe caf\xe9 \xe2\x80 au lait,\xc3\n\xe9"]
+    data = spark.createDataFrame([Row(doc_id=k, text=None if t is None else bytearray(t)) for k, t in enumerate(texts)], "doc_id long, text binary")
+    data = data.select("doc_id", F.expr("cast(text as string)").alias("text"))
+    monkeypatch.setattr(token_files, "TEXTS", 5000)  # many segments
+    token_files.write_texts(data, queries.tokenizer_path(), str(tmp_path / "tokens"))
+    out = sorted(token_files.read(spark, str(tmp_path / "tokens")).collect(), key=lambda r: r.start)
+    want = [np.array([*model.encode((t or b"").decode("utf-8", "replace"), add_special_tokens=False).ids, 0], "<u4").tobytes() for t in texts]
+    assert [bytes(r.token_ids) for r in out] == want
+    cut = spark.createDataFrame([Row(t=bytearray(b"the cat, the cat.\nThe cat"), e=bytearray(np.array([25, 25], "<i4").tobytes()))], "t binary, e binary").select(token_kernel.cut(spark, F.col("t"), F.col("e")))
+    found, codes = token_kernel.pieces(bytes(cut.first()[0]))
+    assert found == [b"the", b" cat", b",", b" the", b".", b"\n", b"The"] and codes.tolist() == [1, 2, 3, 4, 2, 5, 6, 7, 2, 0, 0]
+
+
+def test_parts_of_a_mixture_fit_sixteen_bits():
+    lanes, rng = token_coder._Lanes(1, 4), np.random.default_rng(1)
+    most = 0
+    for ids in (rng.zipf(1.5, 1500) % 50_257, np.full(1500, 40_000), rng.integers(0, 1 << 16, 500)):
+        for i in ids.tolist():
+            lanes.begin(1)
+            for place in range(4):
+                most = max(most, int(lanes.predict(place)[1][0, -1]))
+                lanes.update(np.array([i >> 12 - 4 * place & 15]))
+            lanes.end(np.array([i]))
+    assert most < 1 << 16
