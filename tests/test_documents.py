@@ -171,3 +171,11 @@ def test_text_functions_normalise_first(spark):
     assert tuple(out[1])[1:] == (None,) * 4 and tuple(out[6])[1:] == ("\u00e9\u00e9",) * 4
     keys = [r[4] for r in out]
     assert keys[2] != keys[3] and keys[4] == keys[5] == "a" * 500
+
+
+def test_html_letters_reads_references_as_its_sql_does(spark, tmp_path):
+    pages = ["<h1>fish and&amp</h1>", "<p>a &ampb &lt c &copy2 &nbsp;d &AMP; R&D &eacute;</p>", "<p>&amp;lt; &amp;amp; &lt;b&gt; &#39;x&quot;</p>", "<p>no reference</p>"]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = catalogue.queries()["html_letters"](spark, str(tmp_path)).collect()
+    duckdb.sql(f"CREATE OR REPLACE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert sorted(map(tuple, found)) == sorted(duckdb.sql(catalogue.oracle_sql()["html_letters"]).fetchall())
