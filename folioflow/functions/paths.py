@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -102,12 +103,18 @@ def media_of(path: str) -> str:
 _ORDER = {c: k for k, c in enumerate("_-,;:!?.'\"()[]{}@*/\\&#%`^+<=>|~$")}
 
 
+@lru_cache(maxsize=4096)
+def _rank(c: str) -> tuple:
+    return (0, _ORDER.get(c, -1), "") if not c.isalnum() else (1, 0, c) if c.isdigit() else (2, 0, c.casefold())
+
+
+@lru_cache(maxsize=1024)
 def collation_key(path: str) -> tuple:
     """Order of paths as people read them: punctuation, digits, letters whatever their case; then accents, then small letters first."""
     flat = unicodedata.normalize("NFD", path)
-    base = [c for c in flat if not unicodedata.combining(c)]
-    rank = lambda c: (0, _ORDER.get(c, -1), "") if not c.isalnum() else (1, 0, c) if c.isdigit() else (2, 0, c.casefold())
-    return [rank(c) for c in base], [c for c in flat if unicodedata.combining(c)], [c.isupper() for c in base], path
+    marks = [] if path.isascii() else [c for c in flat if unicodedata.combining(c)]
+    base = [c for c in flat if not unicodedata.combining(c)] if marks else flat
+    return list(map(_rank, base)), marks, list(map(str.isupper, base)), path
 
 
 #: Internal path and what the title's stem makes of it.

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import posixpath
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,6 +18,7 @@ from pyspark.sql.types import StructType
 
 from .. import policy
 from ..functions import paths, text
+from ..functions.batches import gathered, pieces
 from ..operators import book
 from ..policy import DocumentError
 from ..sources import archives, ebooks, pdf
@@ -24,8 +26,8 @@ from ..sources import archives, ebooks, pdf
 inspect = ebooks.inspections
 
 
-def converted(content: bytes, name: str) -> tuple[dict[str, bytes], dict]:
-    """All files that can be made of a document, under their internal paths, and its summary."""
+def converted(content: bytes, name: str, wanted: Callable[[str], object] = lambda path: True) -> tuple[dict[str, bytes], dict]:
+    """All files that can be made of a document, or those of them that are wanted, under their internal paths, and its summary."""
     d = ebooks.read_document(content, name)
     meta = {"title": d["title"], "author": d["author"], "language": d["language"], "format": d["format"]}
     files = _of_pages(d, meta) if d["format"] == "pdf" else _of_chapters(d, meta)
@@ -38,7 +40,8 @@ def converted(content: bytes, name: str) -> tuple[dict[str, bytes], dict]:
         if d["copy"] is not None:
             files["repair/source.repaired." + ("epub" if d["format"] == "epub" else "fb2.zip")] = d["copy"]
     files["SECURITY-REPORT.md"] = book.security_report(summary, posixpath.basename(name))
-    return {k: v.encode() if isinstance(v, str) else v for k, v in files.items()}, summary
+    made = {k: v() if callable(v) else v for k, v in files.items() if wanted(k)}
+    return {k: v.encode() if isinstance(v, str) else v for k, v in made.items()}, summary
 
 
 def _of_chapters(d: dict, meta: dict) -> dict:
@@ -54,8 +57,9 @@ def _of_chapters(d: dict, meta: dict) -> dict:
     files: dict = {f["path"]: f["data"] for f in d["assets"]}
     files |= {f"chapters/{c['seq']:03d}-{c['title']}.md": book.up_one(c["annotated"]) for c in chapters}
     files["book.md"] = "\n\n---\n\n".join(["\n\n".join(head), *[c["annotated"] for c in chapters]]) + "\n"
-    files["notebooklm/book.md"] = book.canonical_book(meta, chapters, d["assets"], occurrences)
-    files["notebooklm/book.sanitized.epub"] = archives.canonical(book.passive_epub(meta, chapters, d["assets"], occurrences))
+    # these two are made only where they are wanted
+    files["notebooklm/book.md"] = lambda: book.canonical_book(meta, chapters, d["assets"], occurrences)
+    files["notebooklm/book.sanitized.epub"] = lambda: archives.canonical(book.passive_epub(meta, chapters, d["assets"], occurrences))
     files["notebooklm/FIGURE-INDEX.md"] = book.figure_index(meta["title"], d["assets"], occurrences, chapters)
     files["notebooklm/LLM-SAFETY-REPORT.md"] = book.safety_report(found)
     files["notebooklm/README.md"] = book.readme(meta)
@@ -125,14 +129,13 @@ def outputs(files: DataFrame, outputs=None, profile: str | None = "archive") ->
     types = [to_arrow_type(f.dataType) for f in schema]
     names = schema.names
 
-    def run(batches):
-        for batch in batches:
+    def rows_of(batches):
+        for batch in pieces(batches):
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                made, code, message = ebooks.attempt(converted, content.as_py(), path or "")
-                rows = [(path, made[1]["title"], k, v, None, None) for k, v in made[0].items()] if made else [(path, None, None, None, code, message)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                made, code, message = ebooks.attempt(lambda data, at: converted(data, at, lambda p: paths.is_kept(p, groups, name)), content.as_py(), path or "")
+                yield from ((path, made[1]["title"], k, v, None, None) for k, v in made[0].items()) if made else [(path, None, None, None, code, message)]
 
-    made = files.select("path", "content").mapInArrow(run, schema)
+    made = files.select("path", "content").mapInArrow(lambda batches: gathered(rows_of(batches), names, types), schema)
     kept = made.where(F.col("error").isNotNull() | paths.kept(F.col("file"), F.array(*map(F.lit, groups)), F.lit(name)))
     file = paths.titled(F.col("file"), text.output_name(F.col("doc_title"), "Untitled book"))
     return kept.select("path", file.alias("file"), paths.by_extension(F.col("file"), paths.MEDIA, "application/octet-stream").alias("media_type"), F.octet_length("data").cast("long").alias("bytes"), F.sha2("data", 256).alias("sha256"), "data", "error", "message")
@@ -151,7 +154,7 @@ _BUNDLES = "path string, filename string, archive binary, format string, title s
 def bundled(content: bytes, name: str, groups, profile: str) -> dict:
     import hashlib
 
-    made, summary = converted(content, name)
+    made, summary = converted(content, name, lambda p: p in ("book.md", "document.md") or paths.is_kept(p, groups, profile))  # the preview needs the first two
     files = selected(made, summary["title"], groups, profile)
     listed = [{"path": p, "media_type": paths.media_of(p), "bytes": len(x), "sha256": hashlib.sha256(x).hexdigest()} for p, x in files.items()]
     said = manifest_text(listed, summary, groups, profile)
@@ -168,14 +171,14 @@ def bundles(files: DataFrame, outputs=None, profile: str | None = "archive") ->
     groups, name = chosen(outputs, profile)
     types = {f.name: to_arrow_type(f.dataType) for f in StructType.fromDDL(_BUNDLES)}
 
-    def run(batches):
-        for batch in batches:
+    def rows_of(batches):
+        for batch in pieces(batches):
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 made, code, message = ebooks.attempt(lambda data, at: bundled(data, at, groups, name), content.as_py(), path or "")
                 row = (made or {}) | {"path": path, "error": code, "message": message}
-                yield pa.RecordBatch.from_arrays([pa.array([row.get(k)], t) for k, t in types.items()], list(types))
+                yield tuple(row.get(k) for k in types)
 
-    return files.select("path", "content").mapInArrow(run, _BUNDLES)
+    return files.select("path", "content").mapInArrow(lambda batches: gathered(rows_of(batches), list(types), list(types.values())), _BUNDLES)
 
 
 def batches(made: DataFrame, size: int = policy.MAX_BATCH) -> DataFrame:
